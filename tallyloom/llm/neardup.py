@@ -13,19 +13,19 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyloom.llm.common import Stages, mix, small_batches
 from tallyloom.llm.graph import components
 
-BANDS, ROWS, BITS = 30, 4, 512
+BANDS, ROWS, BITS, SET_BITS, CHUNK = 30, 4, 512, 2048, 256
 SAMPLES = BANDS * ROWS
 _RNG = np.random.default_rng(20240229)
 _A = _RNG.integers(0, 2**63, SAMPLES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _RNG.integers(0, 2**63, SAMPLES, dtype=np.uint64)
 _C = _RNG.integers(0, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_SIGNED = "doc_id long, n_shingles long, set_id binary, bands array<long>, sketch array<long>"
+_SIGNED = "doc_id long, n_shingles long, set_id binary, bands array<long>, sketch binary, parity binary"
 
 
 def words(text: str | None) -> list[bytes]:
@@ -58,14 +58,20 @@ def minhash(hashes: np.ndarray) -> np.ndarray:
     return least
 
 
-def odd_sketch(samples: np.ndarray) -> np.ndarray:
+def odd_sketch(samples: np.ndarray) -> bytes:
     at = mix(samples * _C[9] + np.arange(SAMPLES, dtype=np.uint64)) % np.uint64(BITS)
-    return np.packbits(np.bincount(at.astype(np.int64), minlength=BITS).astype(np.uint8) & 1).view(np.int64)
+    return np.packbits(np.bincount(at.astype(np.int64), minlength=BITS).astype(np.uint8) & 1).tobytes()
 
 
-def similarity(differing_bits: Column | float, bits: int = BITS, samples: int = SAMPLES):
+def set_parity(hashes: np.ndarray) -> bytes:
+    """The odd sketch of the whole set. The XOR of two has at most as many ones as elements are in only one of the sets."""
+    at = hashes >> np.uint64(64 - SET_BITS.bit_length() + 1)
+    return np.packbits(np.bincount(at.astype(np.int64), minlength=SET_BITS).astype(np.uint8) & 1).tobytes()
+
+
+def similarity(differing_bits: int) -> float:
     """Estimated similarity for the population count of two sketches' XOR."""
-    return 1 + bits / (4 * samples) * math.log(1 - 2 * differing_bits / bits)
+    return 1 + BITS / (4 * SAMPLES) * math.log(max(1e-9, 1 - 2 * differing_bits / BITS))
 
 
 def most_bits(least_similarity: float) -> int:
@@ -82,22 +88,77 @@ def signed(docs: DataFrame, width: int) -> DataFrame:
                 hashes = shingle_hashes(text, width)
                 doc_id = None if pd.isna(doc_id) else int(doc_id)
                 if not len(hashes):
-                    out.append((doc_id, 0, None, None, None))
+                    out.append((doc_id, 0, None, None, None, None))
                     continue
                 samples = minhash(hashes)
                 bands = mix((samples.reshape(BANDS, ROWS) * _C[10 : 10 + ROWS]).sum(axis=1, dtype=np.uint64) + row)
-                out.append((doc_id, len(hashes), xxhash.xxh3_128_digest(hashes.tobytes()), bands.view(np.int64), odd_sketch(samples)))
-            yield pd.DataFrame(out, columns=["doc_id", "n_shingles", "set_id", "bands", "sketch"]).astype({"doc_id": "Int64"})
+                out.append((doc_id, len(hashes), xxhash.xxh3_128_digest(hashes.tobytes()), bands.view(np.int64), odd_sketch(samples), set_parity(hashes)))
+            yield pd.DataFrame(out, columns=["doc_id", "n_shingles", "set_id", "bands", "sketch", "parity"]).astype({"doc_id": "Int64"})
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInPandas(sign, _SIGNED)
 
 
-def _far(a: str, b: str) -> Column:
-    """Population count of the XOR of two sketch columns."""
-    total = F.lit(0)
-    for i in range(BITS // 64):
-        total = total + F.bit_count(F.col(a)[i].bitwiseXOR(F.col(b)[i]))
-    return total
+class Screen:
+    """Which pairs may link: the sketches' estimate is in reach, and the sets' difference is not provably too large.
+
+    A link needs |A xor B| <= (|A| + |B|) (100 - percent) / (100 + percent); the parity sketch bounds the left from
+    below, so this half of the screen loses nothing.
+    """
+
+    def __init__(self, percent: int, slack: float):
+        self.percent, self.bits = percent, most_bits(percent / 100 - slack)
+
+    def __call__(self, a: np.ndarray, a_n: np.ndarray, b: np.ndarray, b_n: np.ndarray) -> np.ndarray:
+        """a, b: rows of sketch and parity as 64-bit words, broadcast against each other; so are the set sizes."""
+        words = BITS // 64
+        total = (a_n + b_n) * (100 - self.percent)
+        keep = np.bitwise_count(a[..., :words] ^ b[..., :words]).sum(axis=-1, dtype=np.int32) <= self.bits
+        return keep & (np.bitwise_count(a[..., words:] ^ b[..., words:]).sum(axis=-1, dtype=np.int64) * (100 + self.percent) <= total)
+
+
+def _rows(sketches) -> np.ndarray:
+    return np.frombuffer(b"".join(sketches), np.uint64).reshape(len(sketches), -1)
+
+
+def _screened(pairs: DataFrame, screen: Screen) -> DataFrame:
+    """Of pairs (a, a_sketch, a_n, b, b_sketch, b_n), the (a, b) that may link."""
+
+    def keep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            if len(pdf):
+                yield pdf.loc[screen(_rows(pdf.a_sketch), pdf.a_n.to_numpy(), _rows(pdf.b_sketch), pdf.b_n.to_numpy()), ["a", "b"]]
+
+    return pairs.mapInPandas(keep, "a long, b long")
+
+
+def _crossed(chunks: DataFrame, screen: Screen) -> DataFrame:
+    """Of chunk pairs (a_*, b_* arrays, main), the (a, b) in different components that may link."""
+
+    def keep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for row in pdf.itertuples(index=False):
+                a, b = np.asarray(row.a_node), np.asarray(row.b_node)
+                b_part = np.asarray(row.b_part)
+                open_ = (np.asarray(row.a_part)[:, None] != b_part) & ((b_part == row.main) | (a[:, None] < b))
+                b_words, b_n = _rows(row.b_sketch), np.asarray(row.b_n)
+                a_words, a_n = _rows(row.a_sketch), np.asarray(row.a_n)
+                for i in np.flatnonzero(open_.any(axis=1)):
+                    if len(hit := np.flatnonzero(open_[i])) and len(hit := hit[screen(a_words[i], a_n[i], b_words[hit], b_n[hit])]):
+                        yield pd.DataFrame({"a": np.minimum(a[i], b[hit]), "b": np.maximum(a[i], b[hit])})
+
+    return chunks.mapInPandas(keep, "a long, b long")
+
+
+def _side(nodes: DataFrame, name: str) -> DataFrame:
+    return nodes.select(F.col("node").alias(name), F.concat("sketch", "parity").alias(f"{name}_sketch"), F.col("n_shingles").alias(f"{name}_n"))
+
+
+def _chunks(members: DataFrame, nodes: DataFrame, name: str, *by: str) -> DataFrame:
+    """Members of each bucket in chunks of about CHUNK, dealt by a hash: a bucket's size bounds no task."""
+    salt = F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / CHUNK))
+    rows = members.join(nodes.select("node", "n_shingles", F.concat("sketch", "parity").alias("sketch")), "node")
+    lists = (("node", "node"), ("component", "part"), ("n_shingles", "n"), ("sketch", "sketch"))
+    return rows.groupBy("bucket", *by, salt.alias(f"{name}_chunk")).agg(*(F.collect_list(c).alias(f"{name}_{to}") for c, to in lists))
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 5, slack: float = 0.2) -> DataFrame:
@@ -108,10 +169,10 @@ def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 5, slack: f
 
     1. Documents with one and the same set form a class; its smallest doc_id stands for it from here on.
     2. In each band bucket every member is paired with the bucket's smallest, never with all others.
-    3. Pairs whose sketches estimate a similarity under percent/100 - slack are let go (six standard deviations), the
-       others are confirmed on their full sets; components follow.
-    4. Within buckets that still span several components, pairs across components are screened in the same way, inside
-       the join, and confirmed; components follow again. So a pair that shares a bucket is left unchecked only where
+    3. Pairs whose sketches estimate a similarity under percent/100 - slack (six standard deviations), or prove too many
+       differing shingles, are let go; the others are confirmed on their full sets; components follow.
+    4. Within buckets that still span several components, pairs across components are screened in the same way, a chunk
+       of members against another, and confirmed; components follow again. So a pair that shares a bucket is left unchecked only where
        its ends are already in one component.
 
     30 bands of 4 rows miss a pair of similarity 0.85 with probability 3e-10, and one of 0.8 with 1e-7.
@@ -125,31 +186,31 @@ def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 5, slack: f
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sigs = stages.put(signed(docs, width), "sigs")
     classes = stages.put(sigs.where("set_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("node")).where("node is not null"), "classes")
-    nodes = sigs.join(classes.select(F.col("set_id").alias("of"), "node"), (F.col("doc_id") == F.col("node")) & (F.col("set_id") == F.col("of"))).select("node", "bands", "sketch")
+    nodes = sigs.join(classes.select(F.col("set_id").alias("of"), "node"), (F.col("doc_id") == F.col("node")) & (F.col("set_id") == F.col("of"))).select("node", "n_shingles", "bands", "sketch", "parity")
     nodes = stages.put(nodes, "nodes")
     in_bands = nodes.select("node", F.explode("bands").alias("bucket"))
     leaders = in_bands.groupBy("bucket").agg(F.min("node").alias("leader"), F.count("*").alias("n")).where("n > 1")
     leaders = stages.put(leaders, "leaders")
     met = stages.put(in_bands.join(leaders, "bucket"), "met")
-    limit = most_bits(percent / 100 - slack)
-    side = lambda name: nodes.select(F.col("node").alias(name), F.col("sketch").alias(f"{name}_sketch"))
+    moved = met.select(F.col("node").alias("doc_id")).distinct()
+    # the hint keeps one plan at every size: the texts of documents that share a bucket are moved once
+    texts = stages.put(docs.join(moved.hint("merge"), "doc_id", "left_semi"), "texts")
     pairs = met.where("node <> leader").select(F.col("node").alias("b"), F.col("leader").alias("a")).distinct()
-    pairs = pairs.join(side("b"), "b").join(side("a"), "a").where(_far("a_sketch", "b_sketch") <= limit).select("a", "b")
-    edges = _confirmed(docs, pairs, stages, "star", percent, width)
+    screen = Screen(percent, slack)
+    pairs = _screened(pairs.join(_side(nodes, "b"), "b").join(_side(nodes, "a"), "a").select("a", "a_sketch", "a_n", "b", "b_sketch", "b_n"), screen)
+    edges = _confirmed(texts, pairs, stages, "star", percent, width)
     groups = stages.put(components(edges, stages, "cc1"), "groups")
 
-    wide = met.where("n > 2").join(groups, "node", "left").select("bucket", "leader", "node", F.coalesce("component", "node").alias("component"))
+    wide = met.where("n > 2").join(groups, "node", "left").select("bucket", "leader", "n", "node", F.coalesce("component", "node").alias("component"))
     wide = stages.put(wide, "wide")
     share = wide.groupBy("bucket", "component").agg(F.count("*").alias("n"))
     mixed = share.groupBy("bucket").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.count("*").alias("k")).where("k > 1").select("bucket", "main")
     mixed = stages.put(mixed, "mixed")
-    open_ = wide.join(mixed, "bucket").where("node <> leader").join(nodes.select("node", "sketch"), "node")
-    open_ = stages.put(open_, "open")
-    few = open_.where("component <> main").select("bucket", F.col("node").alias("a"), F.col("component").alias("a_part"), F.col("sketch").alias("a_sketch"))
-    rest = open_.select("bucket", F.col("node").alias("b"), F.col("component").alias("b_part"), F.col("sketch").alias("b_sketch"), "main")
-    across = few.join(rest, "bucket").where((F.col("a_part") != F.col("b_part")) & ((F.col("b_part") == F.col("main")) | (F.col("a") < F.col("b"))) & (_far("a_sketch", "b_sketch") <= limit))
-    across = across.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    more = _confirmed(docs, across, stages, "across", percent, width)
+    open_ = stages.put(wide.join(mixed, "bucket").where("node <> leader"), "open")
+    few = stages.put(_chunks(open_.where("component <> main"), nodes, "a"), "few")
+    rest = stages.put(_chunks(open_, nodes, "b", "main"), "rest")
+    across = _crossed(few.join(rest, "bucket"), screen).distinct()
+    more = _confirmed(texts, across, stages, "across", percent, width)
     if more.isEmpty():
         final = groups
     else:
@@ -160,15 +221,13 @@ def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 5, slack: f
     out = out.select("doc_id", "n_shingles", F.when(F.col("set_id").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
     # rows that share a doc_id but not a text still are one document
     out = out.select("*", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
-    stages.drop("nodes", "leaders", "met", "star-pairs", "star-texts", "star-links", "groups", "wide", "mixed", "open", "across-pairs", "across-texts", "across-links", "classes", "final", "cc1-0", "cc2-0")
+    stages.drop("nodes", "leaders", "met", "texts", "star-pairs", "star-links", "groups", "wide", "mixed", "open", "few", "rest", "across-pairs", "across-links", "classes", "final", "cc1-0", "cc2-0")
     return out
 
 
-def _confirmed(docs: DataFrame, pairs: DataFrame, stages: Stages, name: str, percent: int, width: int) -> DataFrame:
-    """The pairs (a, b) whose full shingle sets are similar enough. Only texts of documents in a pair are moved."""
+def _confirmed(texts: DataFrame, pairs: DataFrame, stages: Stages, name: str, percent: int, width: int) -> DataFrame:
+    """The pairs (a, b) whose full shingle sets are similar enough."""
     pairs = stages.put(pairs, f"{name}-pairs")
-    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    texts = stages.put(docs.join(ids, "doc_id", "left_semi"), f"{name}-texts")
 
     def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         last: tuple = (None, None)
