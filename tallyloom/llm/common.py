@@ -143,3 +143,8 @@ def ids_of(path: str | None = None) -> Ids:
 def bucket(column: str, modulus: int):
     """crc32 of a column as text, modulo: the folds that labels are learned from and held out by."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % modulus
+
+
+def below(share: float) -> int:
+    """The 64-bit value under which this share of all hashes lies."""
+    return min(2**63 - 1, int((share * 2 - 1) * 2**63))
