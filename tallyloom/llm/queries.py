@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm import decontaminate, ivfpq, langid, linededup, neardup, packing, quality, tokencount, toxicity
+from tallyloom.llm import decontaminate, html, html_pages, ivfpq, langid, linededup, neardup, packing, quality, tokencount, toxicity
 from tallyloom.llm.common import bucket, table
 
 
@@ -19,6 +19,10 @@ def op2_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op3_dom_message_passing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(table(spark, sf_dir, "pages"), html_pages.default_model())
+
+
 def op4_zstd_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = langid.identify(table(spark, sf_dir, "documents"), bucket("doc_id", 4) != 2)
     return out.select("doc_id", (bucket("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score", "margin", "rejected")
@@ -54,6 +58,7 @@ def op10_edit_aware_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_odd_sketch_neardup": op1_odd_sketch_neardup,
     "op2_template_decontamination": op2_template_decontamination,
+    "op3_dom_message_passing": op3_dom_message_passing,
     "op4_zstd_language_id": op4_zstd_language_id,
     "op5_cost_balanced_packing": op5_cost_balanced_packing,
     "op6_edit_join_line_dedup": op6_edit_join_line_dedup,
