@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.llm.common import Stages, small_batches
+from tallyloom.llm.common import Stages, mix, small_batches
 from tallyloom.llm.graph import components
 
 MOST_EDITS = 2
@@ -107,6 +107,17 @@ def within(a: str, b: str, k: int) -> bool:
     return 0 <= end < width and bool(state[k] >> end & 1)
 
 
+SIGN_WORDS = 4
+
+
+def signature(line: str) -> np.ndarray:
+    """Parity bitmap of the line's adjacent character pairs. One edit takes two pairs at most and adds two, so the XOR of
+    the bitmaps of lines within e edits has at most 4 e ones: a screen that loses no link."""
+    code = np.frombuffer(f"\0{line}\0".encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    at = mix(code[:-1] * np.uint64(0x100000001B3) + code[1:]) % np.uint64(64 * SIGN_WORDS)
+    return np.packbits(np.bincount(at.astype(np.int64), minlength=64 * SIGN_WORDS).astype(np.uint8) & 1).view(np.int64)
+
+
 def lines_of(text: Column) -> Column:
     """The lines of a text, without white space at their ends."""
     return F.transform(F.split(F.coalesce(text, F.lit("")), "\n", -1), lambda x: F.trim(F.regexp_replace(x, r"^[ \t\x0B\f\r]+|[ \t\x0B\f\r]+$", "")))
@@ -135,22 +146,33 @@ def linked_lines(lines: DataFrame, stages: Stages) -> DataFrame:
     met = keyed.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count_if("probing").alias("probes"), F.count_if(~F.col("probing")).alias("held")).where("lo <> hi and held > 0 and probes > 0").select("key")
     met = stages.put(met, "met")
     few = stages.put(keyed.join(met, "key", "left_semi"), "keyed")
-    pairs = few.where("probing").select("key", F.col("id").alias("p")).join(few.where("not probing").select("key", F.col("id").alias("q")), "key").where("p <> q")
+    texts = stages.put(_signed(lines.join(few.select("id").distinct(), "id", "left_semi")), "texts")
+    words = [f"s{i}" for i in range(SIGN_WORDS)]
+    side = lambda x: few.join(texts.drop("line"), "id").select("key", "probing", F.col("id").alias(x), *(F.col(w).alias(f"{x}_{w}") for w in words))
+    apart = sum((F.bit_count(F.col(f"p_{w}").bitwiseXOR(F.col(f"q_{w}"))) for w in words), F.lit(0))
+    pairs = side("p").where("probing").drop("probing").join(side("q").where("not probing").drop("probing"), "key").where((F.col("p") != F.col("q")) & (apart <= 4 * MOST_EDITS))
     pairs = stages.put(pairs.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct(), "pairs")
-    ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    texts = stages.put(lines.join(ids, "id", "left_semi"), "texts")
 
     def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             yield pdf.loc[[within(x, y, allowed(min(len(x), len(y)))) for x, y in zip(pdf.x, pdf.y)], ["a", "b"]]
 
-    side = lambda i, t: texts.select(F.col("id").alias(i), F.col("line").alias(t))
-    found = pairs.join(side("a", "x"), "a").join(side("b", "y"), "b").select("a", "b", "x", "y").mapInPandas(check, "a long, b long")
+    line = lambda i, t: texts.select(F.col("id").alias(i), F.col("line").alias(t))
+    found = pairs.join(line("a", "x"), "a").join(line("b", "y"), "b").select("a", "b", "x", "y").mapInPandas(check, "a long, b long")
     found = stages.put(found, "links")
     stages.drop("met", "keyed", "pairs", "texts")
     return found
 
 
+def _signed(lines: DataFrame) -> DataFrame:
+    def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            signs = np.array([signature(x) for x in pdf.line]).reshape(len(pdf), SIGN_WORDS)
+            yield pd.DataFrame({"id": pdf.id, "line": pdf.line, **{f"s{i}": signs[:, i] for i in range(SIGN_WORDS)}})
+
+    return lines.select("id", "line").mapInPandas(sign, "id long, line string, " + ", ".join(f"s{i} long" for i in range(SIGN_WORDS)))
+
+
 class LineClasses:
     """The repeated lines of docs (doc_id, text): a row for each occurrence that is not the first of its class.
 
