@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Texts of about this many bytes go to one Python batch, however long single texts are.
+#: Rows of an Arrow batch of texts.
 BATCH_ROWS = 256
 
 
@@ -32,11 +32,9 @@ class Stages:
     """Intermediate tables of one operator call, written as Parquet to the shared folder.
 
     A written table cuts lineage: a lost executor costs at most the tasks since the last stage, never the whole plan.
-    Tables are deleted by drop(), or at the end of the Python process for those that the result still reads.
+    Tables that the returned DataFrame still reads stay in the folder; whoever owns the folder clears it after the job.
     """
 
-    _live: set[tuple[int, str]] = set()
-
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root = spark, f"{shared_dir(spark)}/tallyloom/{name}-{uuid.uuid4().hex[:12]}"
 
@@ -76,14 +74,6 @@ class Cache(dict):
         return value
 
 
-def word_hashes(words: list[bytes], cache: Cache) -> np.ndarray:
-    return np.fromiter(map(cache.__getitem__, words), dtype=np.uint64, count=len(words))
-
-
-def word_cache(seed: int = 0) -> Cache:
-    return Cache(lambda w: xxhash.xxh3_64_intdigest(w, seed))
-
-
 def mix(h: np.ndarray) -> np.ndarray:
     """Finaliser of splitmix64: spreads the bits of a combined hash."""
     h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
