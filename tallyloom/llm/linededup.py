@@ -12,7 +12,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,6 +19,8 @@ from tallyloom.llm.common import Stages, mix, small_batches
 from tallyloom.llm.graph import components
 
 MOST_EDITS = 2
+#: Characters of lines that are hashed together.
+CHARS = 1_000_000
 _SPACE = " \t\n\x0b\x0c\r"
 
 
@@ -28,42 +29,81 @@ def allowed(length: int) -> int:
     return min(MOST_EDITS, length // 10)
 
 
-def segments(length: int) -> list[tuple[int, int]]:
-    """(start, size) of allowed(length) + 1 segments of nearly the same size, the longer ones last."""
-    parts = allowed(length) + 1
-    size, longer = divmod(length, parts)
-    out, at = [], 0
-    for i in range(parts):
-        n = size + (i >= parts - longer)
-        out.append((at, n))
-        at += n
+#: Any odd multiplier has an inverse modulo 2**64: a difference of prefix sums, taken back to place 0, hashes a substring.
+_STEP = 0x9E3779B97F4A7C15
+_BACK = pow(_STEP, -1, 2**64)
+
+
+def _cut(lengths: np.ndarray, k: int, i: int) -> tuple[np.ndarray, np.ndarray]:
+    """Start and size of segment i of k + 1 of nearly the same size, the longer ones last, for lines of these lengths."""
+    size, longer = np.divmod(lengths, k + 1)
+    return i * size + np.maximum(0, i - (k + 1 - longer)), size + (i >= k + 1 - longer)
+
+
+_POWERS = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+def _powers(n: int) -> list[np.ndarray]:
+    """Powers 0 to n, at least, of the step and of its inverse; kept for the next batch up to CHARS."""
+    if len(_POWERS[0]) > n:
+        return _POWERS
+    out = [np.cumprod(np.concatenate([[1], np.full(max(n, CHARS // 8), base, np.uint64)]).astype(np.uint64)) for base in (_STEP, _BACK)]
+    if n <= CHARS:
+        _POWERS[:] = out
     return out
 
 
-def index_keys(line: str) -> list[int]:
-    n = len(line)
-    return [_key(n, i, line[s : s + m]) for i, (s, m) in enumerate(segments(n))] if allowed(n) else []
+def shares(lines: pd.DataFrame) -> Iterator[pd.DataFrame]:
+    """Consecutive parts of rows with a `line`, of CHARS characters at most or one row: memory is bounded by the longest line."""
+    if len(lines):
+        part = np.cumsum(lines.line.str.len().to_numpy()) // CHARS
+        yield from (rows for _, rows in lines.groupby(part))
 
 
-def probe_keys(line: str) -> list[int]:
-    """Keys under which a line no longer than this one, and within its allowed edits, has a segment in common with it.
+def keys_of(lines: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(key, place of its line, held) of the substrings under which lines meet, each key of a line once.
 
-    Multi-match-aware: segment i of k + 1 may be off by i from the left and by k - i from the right.
+    A line probes with every row: under the key of a segment that a line no longer than it, and within the edits which
+    that one is allowed, may have in common with it. Multi-match-aware: segment i of k + 1 may be off by i from the left
+    and by k - i from the right. held marks its own segments, which a line is found by; these are among its probes.
     """
-    out, n = set(), len(line)
-    for short in range(max(1, n - MOST_EDITS), n + 1):
-        k, delta = allowed(short), n - short
-        if not k or delta > k:
-            continue
-        for i, (s, m) in enumerate(segments(short)):
-            low = max(0, s - i, s + delta - (k - i))
-            high = min(n - m, s + i, s + delta + (k - i))
-            out.update(_key(short, i, line[at : at + m]) for at in range(low, high + 1))
-    return list(out)
+    lengths = np.fromiter(map(len, lines), np.int64, len(lines))
+    begin = np.cumsum(lengths) - lengths
+    code = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    forth, back = _powers(len(code))
+    sums = np.zeros(len(code) + 1, np.uint64)
+    np.cumsum(code * forth[: len(code)], out=sums[1:])
+    keys, owns, helds = [], [], []
+    for delta in range(MOST_EDITS + 1):
+        short = lengths - delta
+        edits = np.minimum(MOST_EDITS, np.maximum(0, short) // 10)
+        for k in range(max(1, delta), MOST_EDITS + 1):
+            own = np.flatnonzero(edits == k)
+            n, first = lengths[own], begin[own]
+            for i in range(k + 1):
+                s, m = _cut(n - delta, k, i)
+                low, high = np.maximum(0, np.maximum(s - i, s + delta - (k - i))), np.minimum(n - m, np.minimum(s + i, s + delta + (k - i)))
+                for shift in range(2 * k + 1):
+                    can = low + shift <= high
+                    at = (first + low + shift)[can]
+                    part = (sums[at + m[can]] - sums[at]) * back[at]
+                    keys.append(mix(part + mix((short[own][can] * 4 + i).astype(np.uint64))))
+                    owns.append(own[can])
+                    helds.append((delta == 0) & (low + shift == s)[can])
+    key, own, held = np.concatenate(keys).view(np.int64), np.concatenate(owns), np.concatenate(helds)
+    order = np.lexsort((~held, key, own))
+    key, own, held = key[order], own[order], held[order]
+    new = np.concatenate([[True], (key[1:] != key[:-1]) | (own[1:] != own[:-1])])[: len(key)]
+    return key[new], own[new], held[new]
 
 
-def _key(length: int, i: int, part: str) -> int:
-    return xxhash.xxh3_64_intdigest(part.encode("utf-8", "surrogatepass"), length * 4 + i) - 2**63
+def index_keys(line: str) -> list[int]:
+    key, _, held = keys_of([line])
+    return key[held].tolist()
+
+
+def probe_keys(line: str) -> list[int]:
+    return keys_of([line])[0].tolist()
 
 
 def within(a: str, b: str, k: int) -> bool:
@@ -110,12 +150,19 @@ def within(a: str, b: str, k: int) -> bool:
 SIGN_WORDS = 4
 
 
-def signature(line: str) -> np.ndarray:
-    """Parity bitmap of the line's adjacent character pairs. One edit takes two pairs at most and adds two, so the XOR of
+def signatures(lines: list[str]) -> np.ndarray:
+    """Parity bitmaps of the lines' adjacent character pairs. One edit takes two pairs at most and adds two, so the XOR of
     the bitmaps of lines within e edits has at most 4 e ones: a screen that loses no link."""
-    code = np.frombuffer(f"\0{line}\0".encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-    at = mix(code[:-1] * np.uint64(0x100000001B3) + code[1:]) % np.uint64(64 * SIGN_WORDS)
-    return np.packbits(np.bincount(at.astype(np.int64), minlength=64 * SIGN_WORDS).astype(np.uint8) & 1).view(np.int64)
+    code = np.frombuffer("".join(f"\0{x}\0" for x in lines).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    own = np.repeat(np.arange(len(lines)), np.fromiter((len(x) + 2 for x in lines), np.int64, len(lines)))
+    inside, width = own[:-1] == own[1:], 64 * SIGN_WORDS
+    at = mix(code[:-1] * np.uint64(0x100000001B3) + code[1:]) % np.uint64(width)
+    counts = np.bincount(own[:-1][inside] * width + at[inside].astype(np.int64), minlength=width * len(lines))
+    return np.packbits((counts & 1).astype(np.uint8).reshape(-1, width), axis=1).view(np.int64)
+
+
+def signature(line: str) -> np.ndarray:
+    return signatures([line])[0]
 
 
 def lines_of(text: Column) -> Column:
@@ -132,25 +179,22 @@ def linked_lines(lines: DataFrame, stages: Stages) -> DataFrame:
     small_batches(lines.sparkSession)
 
     def keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            own, key, probing = [], [], []
-            for i, line in zip(pdf.id, pdf.line):
-                for side, found in ((False, index_keys(line)), (True, probe_keys(line))):
-                    own += [i] * len(found)
-                    key += found
-                    probing += [side] * len(found)
-            yield pd.DataFrame({"key": np.array(key, np.int64), "id": np.array(own, np.int64), "probing": np.array(probing, bool)})
-
-    keyed = lines.mapInPandas(keys, "key long, id long, probing boolean")
-    # a key matters only where different lines meet at it: sums of ids tell, before any row is paired
-    met = keyed.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count_if("probing").alias("probes"), F.count_if(~F.col("probing")).alias("held")).where("lo <> hi and held > 0 and probes > 0").select("key")
+        for pdf in (part for batch in batches for part in shares(batch)):
+            key, own, held = keys_of(pdf.line.tolist())
+            yield pd.DataFrame({"key": key, "id": pdf.id.to_numpy()[own], "held": held})
+
+    keyed = lines.mapInPandas(keys, "key long, id long, held boolean")
+    # a key matters only where different lines meet at it, one of them held: known before any row is paired
+    met = keyed.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.max("held").alias("held")).where("lo <> hi and held").select("key")
     met = stages.put(met, "met")
     few = stages.put(keyed.join(met, "key", "left_semi"), "keyed")
     texts = stages.put(_signed(lines.join(few.select("id").distinct(), "id", "left_semi")), "texts")
     words = [f"s{i}" for i in range(SIGN_WORDS)]
-    side = lambda x: few.join(texts.drop("line"), "id").select("key", "probing", F.col("id").alias(x), *(F.col(w).alias(f"{x}_{w}") for w in words))
+    side = lambda x: few.join(texts.drop("line"), "id").select("key", F.col("held").alias(f"{x}_held"), F.col("id").alias(x), *(F.col(w).alias(f"{x}_{w}") for w in words))
     apart = sum((F.bit_count(F.col(f"p_{w}").bitwiseXOR(F.col(f"q_{w}"))) for w in words), F.lit(0))
-    pairs = side("p").where("probing").drop("probing").join(side("q").where("not probing").drop("probing"), "key").where((F.col("p") != F.col("q")) & (apart <= 4 * MOST_EDITS))
+    # of two lines held under one key, each would find the other: once is enough
+    once = (F.col("p") != F.col("q")) & (~F.col("p_held") | (F.col("p") < F.col("q")))
+    pairs = side("p").join(side("q").where("q_held"), "key").where(once & (apart <= 4 * MOST_EDITS))
     pairs = stages.put(pairs.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct(), "pairs")
 
     def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -166,8 +210,8 @@ def linked_lines(lines: DataFrame, stages: Stages) -> DataFrame:
 
 def _signed(lines: DataFrame) -> DataFrame:
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            signs = np.array([signature(x) for x in pdf.line]).reshape(len(pdf), SIGN_WORDS)
+        for pdf in (part for batch in batches for part in shares(batch)):
+            signs = signatures(pdf.line.tolist())
             yield pd.DataFrame({"id": pdf.id, "line": pdf.line, **{f"s{i}": signs[:, i] for i in range(SIGN_WORDS)}})
 
     return lines.select("id", "line").mapInPandas(sign, "id long, line string, " + ", ".join(f"s{i} long" for i in range(SIGN_WORDS)))
