@@ -47,7 +47,7 @@ def _powers(n: int) -> list[np.ndarray]:
     """Powers 0 to n, at least, of the step and of its inverse; kept for the next batch up to CHARS."""
     if len(_POWERS[0]) > n:
         return _POWERS
-    out = [np.cumprod(np.concatenate([[1], np.full(max(n, CHARS // 8), base, np.uint64)]).astype(np.uint64)) for base in (_STEP, _BACK)]
+    out = [np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(max(n, CHARS // 8), base, np.uint64)])) for base in (_STEP, _BACK)]
     if n <= CHARS:
         _POWERS[:] = out
     return out

@@ -141,6 +141,28 @@ def test_edit_join_loses_no_pair():
             assert np.bitwise_count((linededup.signature(s) ^ linededup.signature(t)).view(np.uint64)).sum() <= 4 * d
 
 
+def test_segment_keys_tell_substrings_apart():
+    rnd = random.Random(11)
+    lines = ["".join(rnd.choice("abc d") for _ in range(rnd.randint(0, 70))) for _ in range(300)] + ["", "x" * 40, "💥" * 12]
+    key, own, held = linededup.keys_of(lines)
+    want = {}
+    for at, line in enumerate(lines):
+        n = len(line)
+        for short in range(max(1, n - 2), n + 1):
+            k = linededup.allowed(short)
+            if not k or n - short > k:
+                continue
+            size, longer = divmod(short, k + 1)
+            cuts = [i * size + max(0, i - (k + 1 - longer)) for i in range(k + 1)] + [short]
+            for i in range(k + 1):
+                s, m = cuts[i], cuts[i + 1] - cuts[i]
+                for p in range(max(0, s - i, s + n - short - (k - i)), min(n - m, s + i, s + n - short + k - i) + 1):
+                    name = (at, short, i, line[p : p + m])
+                    want[name] = want.get(name, False) or (n == short and p == s)
+    assert len(key) == len(want) and len(set(key.tolist())) == len({w[1:] for w in want})
+    assert Counter(zip(own.tolist(), held.tolist())) == Counter((w[0], h) for w, h in want.items())
+
+
 def test_line_dedup_keeps_firsts_and_whole_copies(spark):
     board, own = "Subscribe to our daily letter now!", "This one sentence is only found right here, and it is long."
     rows = [(1, f"{board}\n{own}"), (2, f"{board[:-1]}?\n\nSomething else entirely that nobody ever wrote before."), (3, f"{board}\n{own}"), (4, None), (5, ""), (6, "same same line\nother words here\nsame same line\nmore of it")]
