@@ -12,6 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -53,11 +54,13 @@ def _powers(n: int) -> list[np.ndarray]:
     return out
 
 
-def shares(lines: pd.DataFrame) -> Iterator[pd.DataFrame]:
-    """Consecutive parts of rows with a `line`, of CHARS characters at most or one row: memory is bounded by the longest line."""
-    if len(lines):
-        part = np.cumsum(lines.line.str.len().to_numpy()) // CHARS
-        yield from (rows for _, rows in lines.groupby(part))
+def shares(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, list[str]]]:
+    """Ids and lines of (id, line), in parts of about CHARS characters or one row: memory is bounded by the longest line."""
+    for batch in batches:
+        ids, lines = batch.column("id").to_numpy(zero_copy_only=False), batch.column("line").to_pylist()
+        at = np.cumsum(np.fromiter(map(len, lines), np.int64, len(lines))) // CHARS
+        cuts = [0, *(np.flatnonzero(np.diff(at)) + 1).tolist(), len(lines)]
+        yield from ((ids[i:j], lines[i:j]) for i, j in zip(cuts, cuts[1:]) if i < j)
 
 
 def keys_of(lines: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -167,7 +170,7 @@ def signature(line: str) -> np.ndarray:
 
 def lines_of(text: Column) -> Column:
     """The lines of a text, without white space at their ends."""
-    return F.transform(F.split(F.coalesce(text, F.lit("")), "\n", -1), lambda x: F.trim(F.regexp_replace(x, r"^[ \t\x0B\f\r]+|[ \t\x0B\f\r]+$", "")))
+    return F.transform(F.split(F.coalesce(text, F.lit("")), "\n", -1), lambda x: F.btrim(x, F.lit(" \t\x0b\x0c\r")))
 
 
 def line_id(line: Column) -> Column:
@@ -178,12 +181,12 @@ def linked_lines(lines: DataFrame, stages: Stages) -> DataFrame:
     """Pairs (a, b) of ids of distinct lines (id, line) that lie within the edits that the shorter one is allowed."""
     small_batches(lines.sparkSession)
 
-    def keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in (part for batch in batches for part in shares(batch)):
-            key, own, held = keys_of(pdf.line.tolist())
-            yield pd.DataFrame({"key": key, "id": pdf.id.to_numpy()[own], "held": held})
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, part in shares(batches):
+            key, own, held = keys_of(part)
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(ids[own]), pa.array(held)], ["key", "id", "held"])
 
-    keyed = lines.mapInPandas(keys, "key long, id long, held boolean")
+    keyed = lines.mapInArrow(keys, "key long, id long, held boolean")
     # a key matters only where different lines meet at it, one of them held: known before any row is paired
     met = keyed.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.max("held").alias("held")).where("lo <> hi and held").select("key")
     met = stages.put(met, "met")
@@ -209,12 +212,12 @@ def linked_lines(lines: DataFrame, stages: Stages) -> DataFrame:
 
 
 def _signed(lines: DataFrame) -> DataFrame:
-    def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in (part for batch in batches for part in shares(batch)):
-            signs = signatures(pdf.line.tolist())
-            yield pd.DataFrame({"id": pdf.id, "line": pdf.line, **{f"s{i}": signs[:, i] for i in range(SIGN_WORDS)}})
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, part in shares(batches):
+            signs = signatures(part)
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(part, pa.string()), *(pa.array(signs[:, i]) for i in range(SIGN_WORDS))], ["id", "line", *(f"s{i}" for i in range(SIGN_WORDS))])
 
-    return lines.select("id", "line").mapInPandas(sign, "id long, line string, " + ", ".join(f"s{i} long" for i in range(SIGN_WORDS)))
+    return lines.select("id", "line").mapInArrow(sign, "id long, line string, " + ", ".join(f"s{i} long" for i in range(SIGN_WORDS)))
 
 
 class LineClasses:
