@@ -13,15 +13,17 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyloom.llm.common import Stages, mix, small_batches
+from tallyloom.llm.common import Stages, mix, partitions, small_batches
 from tallyloom.llm.graph import components
 
 MOST_EDITS = 2
 #: Characters of lines that are hashed together.
 CHARS = 1_000_000
+#: One distinct line in so many tells which keys are common.
+SAMPLE = 64
 _SPACE = " \t\n\x0b\x0c\r"
 
 
@@ -181,17 +183,23 @@ def linked_lines(lines: DataFrame, stages: Stages) -> DataFrame:
     """Pairs (a, b) of ids of distinct lines (id, line) that lie within the edits that the shorter one is allowed."""
     small_batches(lines.sparkSession)
 
+    hot = np.array(_common_keys(lines, stages), np.int64)
+
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, part in shares(batches):
             key, own, held = keys_of(part)
-            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(ids[own]), pa.array(held)], ["key", "id", "held"])
-
-    keyed = lines.mapInArrow(keys, "key long, id long, held boolean")
-    # a key matters only where different lines meet at it, one of them held: known before any row is paired
-    met = keyed.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.max("held").alias("held")).where("lo <> hi and held").select("key")
-    met = stages.put(met, "met")
-    few = stages.put(keyed.join(met, "key", "left_semi"), "keyed")
-    texts = stages.put(_signed(lines.join(few.select("id").distinct(), "id", "left_semi")), "texts")
+            common = np.isin(key, hot)
+            arrays = [pa.array(np.where(common, ids[own], key)), pa.array(ids[own]), pa.array(held), pa.array(key, mask=~common)]
+            yield pa.RecordBatch.from_arrays(arrays, ["home", "id", "held", "common"])
+
+    # a key matters only where different lines meet at it, one of them held. Rows move to the home of their key once and
+    # are kept or let go there; a window's group is no larger than a common key's least size, as those meet anyway
+    home = Window.partitionBy("home")
+    dealt = lines.select("id", "line").mapInArrow(keys, "home long, id long, held boolean, common long")
+    seen = dealt.select("*", F.min("id").over(home).alias("lo"), F.max("id").over(home).alias("hi"), F.max("held").over(home).alias("any"))
+    few = seen.where("lo <> hi and any or common is not null").select(F.coalesce("common", "home").alias("key"), "id", "held")
+    few = stages.put(few, "keyed")
+    texts = stages.put_by(_signed(lines.join(few.select("id").distinct().hint("shuffle_hash"), "id", "left_semi")), "texts", "id")
     words = [f"s{i}" for i in range(SIGN_WORDS)]
     side = lambda x: few.join(texts.drop("line"), "id").select("key", F.col("held").alias(f"{x}_held"), F.col("id").alias(x), *(F.col(w).alias(f"{x}_{w}") for w in words))
     apart = sum((F.bit_count(F.col(f"p_{w}").bitwiseXOR(F.col(f"q_{w}"))) for w in words), F.lit(0))
@@ -207,10 +215,27 @@ def linked_lines(lines: DataFrame, stages: Stages) -> DataFrame:
     line = lambda i, t: texts.select(F.col("id").alias(i), F.col("line").alias(t))
     found = pairs.join(line("a", "x"), "a").join(line("b", "y"), "b").select("a", "b", "x", "y").mapInPandas(check, "a long, b long")
     found = stages.put(found, "links")
-    stages.drop("met", "keyed", "pairs", "texts")
+    stages.drop("common", "keyed", "pairs", "texts")
     return found
 
 
+def _common_keys(lines: DataFrame, stages: Stages) -> list[int]:
+    """Keys that more lines have than an even share of all lines in one partition, found on one line in SAMPLE.
+
+    A line has at most 12 keys, so there are at most 12 such keys for each partition, whatever the size of the corpus.
+    The list only decides how rows are dealt: a key that it misses is met at home like any other.
+    """
+
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, part in shares(batches):
+            yield pa.RecordBatch.from_arrays([pa.array(keys_of(part)[0])], ["key"])
+
+    least = max(16, lines.count() // (partitions(lines.sparkSession) * SAMPLE))
+    some = lines.select("id", "line").where(F.pmod(F.xxhash64("id"), F.lit(SAMPLE)) == 0).mapInArrow(keys, "key long")
+    counts = some.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    return [row.key for row in stages.put(counts, "common").select("key").collect()]
+
+
 def _signed(lines: DataFrame) -> DataFrame:
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, part in shares(batches):
@@ -235,7 +260,7 @@ class LineClasses:
         each = self.rows.select("doc_id", "row", F.posexplode(lines_of(F.col("text"))).alias("at", "line")).where("line <> ''")
         place = F.struct(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("doc_id"), "row", "at")
         distinct = each.groupBy(line_id(F.col("line")).alias("id")).agg(F.min("line").alias("line"), F.min(place).alias("first"), F.count("*").alias("n"))
-        distinct = self.stages.put(distinct, "distinct")
+        distinct = self.stages.put_by(distinct, "distinct", "id")
         self.links = linked_lines(distinct.select("id", "line"), self.stages)
         groups = components(self.links, self.stages, "cc")
         both = self.links.union(self.links.select("b", "a"))

@@ -119,6 +119,16 @@ def test_packing_is_a_partition_of_all_ids(spark):
     assert pieces.groupby("sequence_id").ngroups * 256 - pieces.length.sum() < 256 * 4
 
 
+def edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        new = [i]
+        for j, y in enumerate(b, 1):
+            new.append(min(new[-1] + 1, row[j] + 1, row[j - 1] + (x != y)))
+        row = new
+    return row[-1]
+
+
 def test_edit_join_loses_no_pair():
     rnd = random.Random(2)
     for _ in range(2000):
@@ -128,13 +138,7 @@ def test_edit_join_loses_no_pair():
             i = rnd.randint(0, len(b))
             b[i : i + rnd.randint(0, 1)] = rnd.choice(["", "a", "x"])
         b = "".join(b)
-        row = list(range(len(b) + 1))
-        for i, x in enumerate(a, 1):
-            new = [i]
-            for j, y in enumerate(b, 1):
-                new.append(min(new[-1] + 1, row[j] + 1, row[j - 1] + (x != y)))
-            row = new
-        d, (s, t) = row[-1], sorted((a, b), key=len)
+        d, (s, t) = edits(a, b), sorted((a, b), key=len)
         assert all(linededup.within(a, b, k) == (d <= k) for k in (1, 2))
         if a != b and 0 < d <= linededup.allowed(len(s)):
             assert set(linededup.index_keys(s)) & set(linededup.probe_keys(t))
@@ -172,6 +176,26 @@ def test_line_dedup_keeps_firsts_and_whole_copies(spark):
     assert linededup.line_report(docs_of(spark, [])).count() == 0
 
 
+def test_common_keys_change_no_link(spark, monkeypatch):
+    rnd = random.Random(8)
+    rows = [(i, "all lines begin alike and then differ " + "".join(rnd.choice("ab") for _ in range(4))) for i in range(60)]
+    report = lambda: sorted(map(tuple, linededup.line_report(docs_of(spark, rows)).collect()))
+    plain = report()
+    lines = {t for _, t in rows}
+    links = {t: sum(0 < edits(t, u) <= 2 for u in lines) for t in lines}
+    assert [r[4] for r in plain] == [links[t] for _, t in rows]
+    found = []
+    common = linededup._common_keys
+
+    def eager(lines, stages):
+        monkeypatch.setattr(linededup, "SAMPLE", 1)
+        found.extend(common(lines, stages))
+        return found
+
+    monkeypatch.setattr(linededup, "_common_keys", eager)
+    assert report() == plain and found
+
+
 def test_search_recall_and_odd_vectors(spark):
     rnd = np.random.default_rng(4)
     x = rnd.normal(size=(1500, 16)).astype(float)
