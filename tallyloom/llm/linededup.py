@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyloom.llm import neardup
 from tallyloom.llm.common import Stages, mix, partitions, small_batches
 from tallyloom.llm.graph import components
 
@@ -278,14 +279,16 @@ class LineClasses:
         self.stages.drop("distinct", "degree", "classed", "firsts", "cc-0")
 
 
-def dedup_lines(docs: DataFrame, most_share: float = 0.5) -> DataFrame:
+def dedup_lines(docs: DataFrame, most_share: float = 0.5, percent: int = 80, width: int = 5) -> DataFrame:
     """docs (doc_id, text, ...) with repeated lines taken out of text; all columns stay.
 
     A line stays where it is the first of its class in the corpus, or empty. A row whose repeats make up more than
-    `most_share` of its characters is a copy as a whole; it is left as it is, for a document-level operator to judge
-    against the original, since fragments of it could no longer be recognised. Null text: stays null. Repeated rows
-    (one doc_id, one text): alike. Null doc_id: ordered last. Empty table: no rows. Extra columns: kept, whatever their
-    names, but for the reserved `_row`, `_repeats` and `_part`.
+    `most_share` of its characters may be a copy as a whole, which fragments would hide from a document-level operator.
+    It is left as it is only where near_duplicates(percent, width) puts it in a group whose smallest doc_id is of a row
+    under that share: such a row keeps its present text, so the same operator run on the result still finds the group
+    and removes the copy. All other rows lose their repeats. Null text: stays null. Repeated rows (one doc_id, one
+    text): alike. Null doc_id: ordered last. Empty table: no rows. Extra columns: kept, whatever their names, but for
+    the reserved `_row`, `_repeats`, `_part` and `_copy`.
     """
     classes = LineClasses(docs)
     drops = classes.per_row.where(F.size("repeats") > 0).select(F.col("row").alias("_row"), F.col("repeats").alias("_repeats"), F.col("repeat_chars").alias("_part"))
@@ -293,7 +296,17 @@ def dedup_lines(docs: DataFrame, most_share: float = 0.5) -> DataFrame:
     out = docs.withColumn("_row", F.xxhash64(doc_id, text)).join(drops, "_row", "left")
     lines = F.split(F.col("text"), "\n", -1)
     kept = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains(F.col("_repeats"), i)), "\n")
-    cut = F.col("_repeats").isNotNull() & (F.col("_part") <= F.lit(most_share) * F.length("text"))
+    over = F.coalesce(F.col("_part") > F.lit(most_share) * F.length("text"), F.lit(False))
+    cut = F.col("_repeats").isNotNull()
+    tried = classes.stages.put(out.select(doc_id.alias("doc_id"), F.when(cut & ~over, kept).otherwise(text).alias("text"), over.alias("over")), "tried")
+    mostly = classes.stages.put(tried.where("over").select("doc_id").distinct(), "mostly")
+    if not mostly.isEmpty():
+        groups = neardup.near_duplicates(tried, percent=percent, width=width).where("not kept").select("doc_id", "component_id").distinct()
+        copies = groups.join(mostly, "doc_id", "left_semi").join(mostly.select(F.col("doc_id").alias("component_id")), "component_id", "left_anti")
+        copies = classes.stages.put(copies.select(F.col("doc_id").alias("_copy")).distinct(), "copies")
+        out = out.join(copies, doc_id == F.col("_copy"), "left")
+        cut = cut & ~(over & F.col("_copy").isNotNull())
+    classes.stages.drop("tried", "mostly")
     return out.withColumn("text", F.when(cut, kept).otherwise(F.col("text"))).select(*docs.columns)
 
 

@@ -176,6 +176,16 @@ def test_line_dedup_keeps_firsts_and_whole_copies(spark):
     assert linededup.line_report(docs_of(spark, [])).count() == 0
 
 
+def test_line_dedup_cuts_mixtures_of_other_documents(spark):
+    rnd = random.Random(12)
+    line = lambda: " ".join("".join(rnd.choice("abcdefghijklmnop") for _ in range(7)) for _ in range(9))
+    one, two, new = [line() for _ in range(6)], [line() for _ in range(6)], line()
+    rows = [(1, one), (2, two), (3, one[:4] + two[:4] + [new]), (4, one), (5, one[:4] + two[:4] + [new])]
+    got = {r.doc_id: r.text for r in linededup.dedup_lines(docs_of(spark, [(i, "\n".join(x)) for i, x in rows])).collect()}
+    assert got[1] == "\n".join(one) and got[2] == "\n".join(two) and got[4] == got[1]
+    assert got[3] == new and got[5] == ""
+
+
 def test_common_keys_change_no_link(spark, monkeypatch):
     rnd = random.Random(8)
     rows = [(i, "all lines begin alike and then differ " + "".join(rnd.choice("ab") for _ in range(4))) for i in range(60)]
