@@ -6,9 +6,11 @@ template words are hash-joined; where enough of an item is covered, its slots mu
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyloom.llm.common import Stages
+
 WIDTH = 8
 # Unit words and signs, recognised after a number.
 UNITS = "mm cm m km kg g mg lb lbs oz ml l s sec secs second seconds min mins minute minutes h hr hrs hour hours day days week weeks month months year years % € $ £ usd eur dollars euros cents kmh mph hz khz mhz ghz w kw v a c f".split()
@@ -59,7 +61,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, cove
     """Pairs of a document of docs (doc_id, text) and an item of benchmark (item_id, text) that it holds, re-parameterised or not.
 
     An item counts as held where windows of `width` template words that it shares with the document cover at least the
-    share `coverage` of its words, and every slot value of the item stands for one value of the document throughout.
+    share `coverage` of its words, and every slot value of the item stands for one value of the document throughout:
+    in all places of the document together, or else in one place of it (see _aligned), whose figures then are returned.
     Items shorter than `width` are sought as one window of their own length. Returns doc_id, item_id, n_words (of the
     item), n_covered, n_slots (distinct slot values met), n_changed (of these, with another value in the document).
 
@@ -73,21 +76,74 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, cove
     found = None
     for w in sorted(r.w for r in items.select("w").distinct().collect()):  # at most `width` values
         keys = items.where(F.col("w") == w).select("item_id", "x", F.posexplode(windows(F.col("x.words"), w)).alias("item_at", "key"))
-        keys = keys.select("item_id", F.size("x.words").alias("n_words"), "item_at", "key", F.slice("x.raw", F.col("item_at") + 1, w).alias("item_part"))
+        keys = keys.select("item_id", F.xxhash64("x.raw").alias("item"), F.size("x.words").alias("n_words"), "item_at", "key", F.slice("x.raw", F.col("item_at") + 1, w).alias("item_part"))
         if keys.count() <= most_broadcast:
             keys = F.broadcast(keys)
-        places = docs.select(F.col("doc_id").cast("long").alias("doc_id"), analysed(text, w).alias("x")).select("doc_id", "x", F.posexplode("x.keys").alias("at", "key"))
-        pairs = places.join(keys, "key").select("doc_id", "item_id", "n_words", "item_at", F.lit(w).alias("w"), F.slice("x.raw", F.col("at") + 1, w).alias("part"), F.slice("x.words", F.col("at") + 1, w).alias("kind"), "item_part")
+        places = docs.select(F.col("doc_id").cast("long").alias("doc_id"), analysed(text, w).alias("x")).select("doc_id", F.xxhash64("x.raw").alias("row"), "x", F.posexplode("x.keys").alias("at", "key"))
+        pairs = places.join(keys, "key").select("doc_id", "row", "at", "item_id", "item", "n_words", "item_at", F.lit(w).alias("w"), F.slice("x.raw", F.col("at") + 1, w).alias("part"), F.slice("x.words", F.col("at") + 1, w).alias("kind"), "item_part")
         found = pairs if found is None else found.unionByName(pairs)
     if found is None:
         return docs.sparkSession.createDataFrame([], "doc_id long, item_id long, n_words int, n_covered int, n_slots int, n_changed int")
     slots = F.filter(F.arrays_zip("kind", "item_part", "part"), lambda x: x["kind"].isin(NUMBER, UNIT, NAME))
     slots = F.transform(slots, lambda x: F.struct(bare(x["item_part"]).alias("item"), bare(x["part"]).alias("doc")))
-    held = found.withColumn("slots", slots).groupBy("doc_id", "item_id", "n_words", "w").agg(F.array_sort(F.collect_set("item_at")).alias("ats"), F.array_distinct(F.flatten(F.collect_set("slots"))).alias("slots"))
-    covered = F.aggregate("ats", F.struct(F.lit(0).alias("n"), F.lit(0).alias("end")), lambda s, at: F.struct((s["n"] + at + F.col("w") - F.greatest(s["end"], at)).alias("n"), (at + F.col("w")).alias("end")))["n"]
-    values = F.array_distinct(F.transform("slots", lambda x: x["item"]))
-    out = held.select("doc_id", "item_id", "n_words", covered.alias("n_covered"), F.size("slots").alias("n_pairs"), F.size(values).alias("n_slots"), F.size(F.filter("slots", lambda x: x["item"] != x["doc"])).alias("n_changed"))
-    return out.where((F.col("n_covered") >= F.lit(coverage) * F.col("n_words")) & (F.col("n_pairs") == F.col("n_slots"))).drop("n_pairs")
+    found = Stages(docs.sparkSession, "decontaminate").put(found.select("doc_id", "row", "at", "item_id", "item", "n_words", "item_at", "w", slots.alias("slots")), "found")
+    held = found.groupBy(*_PAIR).agg(F.array_sort(F.collect_set("item_at")).alias("ats"), F.array_distinct(F.flatten(F.collect_set("slots"))).alias("slots"))
+    held = held.select(*_PAIR, *_figures(F.col("ats"), F.col("slots"), F.col("w"))).where(F.col("n_covered") >= F.lit(coverage) * F.col("n_words"))
+    mixed = held.where("n_pairs <> n_slots").select(*(F.col(c).alias(f"_{c}") for c in _PAIR))
+    places = found.join(mixed, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in _PAIR], "left_semi")
+    return held.where("n_pairs = n_slots").unionByName(_aligned(places, coverage)).drop("n_pairs", "w")
+
+
+_PAIR = ["doc_id", "item_id", "n_words", "w"]
+
+
+def _figures(ats: Column, slots: Column, w: Column) -> list[Column]:
+    """n_covered, n_pairs, n_slots and n_changed of windows of an item, by their sorted places, and distinct slot pairs."""
+    step = lambda s, at: F.struct((s["n"] + at + w - F.greatest(s["end"], at)).alias("n"), (at + w).alias("end"))
+    covered = F.aggregate(ats, F.struct(F.lit(0).alias("n"), F.lit(0).alias("end")), step)["n"]
+    changed = F.size(F.filter(slots, lambda x: x["item"] != x["doc"]))
+    return [covered.alias("n_covered"), F.size(slots).alias("n_pairs"), _n_items(slots).alias("n_slots"), changed.alias("n_changed")]
+
+
+def _n_items(slots: Column) -> Column:
+    return F.size(F.array_distinct(F.transform(slots, lambda x: x["item"])))
+
+
+def _aligned(found: DataFrame, coverage: float) -> DataFrame:
+    """The best place of a document for each item, of those that cover enough of the item and map its slots consistently.
+
+    Windows with one difference of document and item place lie on one diagonal; adjacent ones form a run. A place is
+    the runs of one diagonal, or a chain of runs that go on in both texts over diagonals at most `w` apart (words put in
+    or left out); a run of another diagonal is chained only if its slots agree. Diagonals are dealt into two overlapping
+    blocks of n_words, so that a chain, which drifts by less, lies within one whatever the document's length.
+    """
+    text = ["doc_id", "row", "item_id", "item", "n_words", "w"]
+    found = found.withColumn("diagonal", F.col("at") - F.col("item_at")).distinct()
+    order = Window.partitionBy(*text, "diagonal").orderBy("item_at")
+    runs = found.withColumn("run", F.col("item_at") - F.row_number().over(order)).groupBy(*text, "diagonal", "run")
+    runs = runs.agg(F.array_sort(F.collect_set("item_at")).alias("ats"), F.array_distinct(F.flatten(F.collect_set("slots"))).alias("slots"))
+    block = F.floor(F.col("diagonal") / F.col("n_words"))
+    runs = runs.withColumn("block", F.explode(F.array(block, block + 1)))
+    run = F.struct(F.element_at("ats", 1).alias("first"), F.element_at("ats", -1).alias("last"), "diagonal", "ats", "slots")
+    blocks = runs.groupBy(*text, "block").agg(F.array_sort(F.collect_list(run)).alias("runs"))
+
+    def chain(start: Column, reach: Column) -> Column:
+        def step(s: Column, r: Column) -> Column:
+            on = (r["first"] > s["last"]) & (r["first"] + r["diagonal"] > s["last"] + s["diagonal"]) & (F.abs(r["diagonal"] - s["diagonal"]) <= reach)
+            both = F.array_union(s["slots"], r["slots"])
+            on = on & ((r["diagonal"] == s["diagonal"]) | (F.size(both) == _n_items(both)))
+            new = F.struct(r["first"].alias("first"), r["last"].alias("last"), r["diagonal"].alias("diagonal"), F.concat(s["ats"], r["ats"]).alias("ats"), both.alias("slots"))
+            return F.when(on, new).otherwise(s)
+
+        return F.aggregate("runs", start, step)
+
+    chains = F.flatten(F.transform("runs", lambda r: F.array(chain(r, F.lit(0)), chain(r, F.col("w")))))
+    places = blocks.select(*_PAIR, F.explode(chains).alias("place"))
+    places = places.select(*_PAIR, *_figures(F.col("place.ats"), F.col("place.slots"), F.col("w")))
+    places = places.where((F.col("n_covered") >= F.lit(coverage) * F.col("n_words")) & (F.col("n_pairs") == F.col("n_slots")))
+    best = F.max(F.struct("n_covered", "n_slots", (-F.col("n_changed")).alias("same"), "n_pairs")).alias("best")
+    best = places.groupBy(*_PAIR).agg(best)
+    return best.select(*_PAIR, "best.n_covered", "best.n_pairs", "best.n_slots", (-F.col("best.same")).alias("n_changed"))
 
 
 _UNIT_LIST = ", ".join(f"'{u}'" for u in UNITS)

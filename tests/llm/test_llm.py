@@ -71,6 +71,22 @@ def test_template_leaks(spark):
     assert [r.doc_id for r in decontaminate.contaminated(docs_of(spark, [(1, "so blue, green red!"), (2, "blue red green")]), short).collect()] == [1]
 
 
+def test_template_leaks_by_place(spark):
+    item = "A train leaves Anna's town at 60 kmh and reaches Boston after 3 hours how far did Anna go before Anna slept"
+    other = "A train leaves Bella's town at 80 kmh and reaches Denver after 5 hours how far did Bella go before Bella slept"
+    third = other.replace("Bella", "Carla").replace("80", "90")
+    mixed = other.replace("before Bella", "before Carol")
+    added = other.replace("and reaches", "and then surely reaches")
+    numbers = "add up 4 8 15 16 23 42 99 7 31 12 and say what the sum of them is"
+    bench = spark.createDataFrame([(7, item), (8, numbers)], "item_id long, text string")
+    rows = [(1, f"{item}. Then: {other}."), (2, f"{other}. Now: {third}."), (3, numbers), (4, mixed), (5, f"{item}. Now: {added}."), (6, f"{mixed}. Then: {mixed}.")]
+    got = {(r.doc_id, r.item_id): r for r in decontaminate.contaminated(docs_of(spark, rows), bench).collect()}
+    assert set(got) == {(1, 7), (2, 7), (3, 8), (5, 7)}
+    assert got[1, 7].n_changed == 0 and got[2, 7].n_changed > 0 and got[3, 8].n_changed == 0 and got[3, 8].n_slots == 10
+    broken = [(1, f"{mixed}. Now: {added}.")]
+    assert [r.n_changed > 0 for r in decontaminate.contaminated(docs_of(spark, broken), bench).collect()] == [True]
+
+
 def test_template_query_equals_sql(spark):
     import duckdb
 
