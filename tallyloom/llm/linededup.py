@@ -270,11 +270,21 @@ class LineClasses:
         classed = self.stages.put(classed.where("n > 1 or component is not null").withColumn("class", F.coalesce("component", "id")), "classed")
         firsts = self.stages.put(classed.groupBy("class").agg(F.min("first").alias("keeper"), F.sum("n").alias("class_size")), "firsts")
         self.classes = self.stages.put(classed.join(firsts, "class").select("id", "class", "keeper", "class_size", F.coalesce("n_links", F.lit(0)).alias("n_links")), "classes")
-        found = each.select("row", "at", F.length("line").alias("size"), line_id(F.col("line")).alias("id")).join(self.classes, "id")
         again = ~((F.col("keeper.row") == F.col("row")) & (F.col("keeper.at") == F.col("at")))
-        per_row = found.groupBy("row").agg(
-            F.sort_array(F.collect_set(F.when(again, F.col("at")))).alias("repeats"), F.count_distinct("at").alias("n_shared"), F.sum(F.when(again, F.col("size")).otherwise(0)).alias("repeat_chars"), F.sum("n_links").alias("n_links"), F.min("keeper.doc_id").alias("first_doc")
-        )
+        found = each.select("row", "at", F.length("line").alias("size"), line_id(F.col("line")).alias("id")).join(self.classes, "id")
+        found = found.select("row", F.col("keeper.doc_id").alias("first"), F.struct("at", "size", "n_links", again.alias("again")).alias("line"))
+        # sets, as repeated rows bring each of their lines once a copy
+        by_first = found.repartition("row").groupBy("row", "first").agg(F.collect_set("line").alias("lines"))
+        total = lambda f: F.aggregate(F.transform("lines", f), F.lit(0).cast("long"), lambda s, x: s + x)
+        by_first = by_first.select(
+            "row", "first", F.size("lines").cast("long").alias("n_lines"), total(lambda x: x["size"].cast("long")).alias("n_chars"), total(lambda x: x["n_links"]).alias("n_links"),
+            F.transform(F.filter("lines", lambda x: x["again"]), lambda x: x["at"]).alias("repeats"), total(lambda x: F.when(x["again"], x["size"]).otherwise(0).cast("long")).alias("repeat_chars"),
+        )
+        known = F.when(F.col("first") < 2**63 - 1, F.col("first"))
+        per_row = by_first.groupBy("row").agg(
+            F.sort_array(F.flatten(F.collect_list("repeats"))).alias("repeats"), F.sum("n_lines").alias("n_shared"), F.sum("repeat_chars").alias("repeat_chars"), F.sum("n_links").alias("n_links"), F.min("first").alias("first_doc"),
+            F.sort_array(F.collect_list(F.struct(known.alias("doc_id"), "n_lines", "n_chars"))).alias("first_docs"),
+        )
         self.per_row = self.stages.put(per_row, "per_row")
         self.stages.drop("distinct", "degree", "classed", "firsts", "cc-0")
 
@@ -311,13 +321,16 @@ def dedup_lines(docs: DataFrame, most_share: float = 0.5, percent: int = 80, wid
 
 
 def line_report(docs: DataFrame) -> DataFrame:
-    """One row per distinct (doc_id, text): n_lines, n_shared (lines in a class with others), n_repeats, n_links, first_doc.
+    """One row per distinct (doc_id, text): n_lines, n_shared (lines in a class with others), n_repeats, n_links, first_doc,
+    first_docs.
 
     n_links counts the links of the row's lines to different lines; first_doc is the smallest doc_id that holds the
-    first occurrence of one of its classes (null: it shares no line). Null or empty text: no lines.
+    first occurrence of one of its classes (null: it shares no line). first_docs has each such document (doc_id, n_lines,
+    n_chars) with the lines of this row in its classes and their characters; they add up to n_shared. Null or empty text:
+    no lines, and no first_docs.
     """
     classes = LineClasses(docs)
     rows = classes.rows.select("doc_id", "row", F.size(F.filter(lines_of(F.col("text")), lambda x: x != "")).alias("n_lines")).join(classes.per_row, "row", "left")
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("long")
     first = F.when(F.col("first_doc") < 2**63 - 1, F.col("first_doc"))
-    return rows.select("doc_id", F.col("n_lines").cast("long").alias("n_lines"), zero("n_shared").alias("n_shared"), zero(F.when(F.col("repeats").isNotNull(), F.size("repeats"))).alias("n_repeats"), zero("n_links").alias("n_links"), first.alias("first_doc"))
+    return rows.select("doc_id", F.col("n_lines").cast("long").alias("n_lines"), zero("n_shared").alias("n_shared"), zero(F.when(F.col("repeats").isNotNull(), F.size("repeats"))).alias("n_repeats"), zero("n_links").alias("n_links"), first.alias("first_doc"), F.coalesce("first_docs", F.array()).alias("first_docs"))

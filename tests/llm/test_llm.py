@@ -202,6 +202,18 @@ def test_line_dedup_cuts_mixtures_of_other_documents(spark):
     assert got[3] == new and got[5] == ""
 
 
+def test_line_report_names_every_first_document(spark):
+    short, long, near = "a line that ten others have", "a long passage that another document had first, word for word", "a line that ten others hove"
+    rows = [(1, short), (2, long), (3, f"{long}\n{near}\nits own line, found nowhere else"), (3, f"{long}\n{near}\nits own line, found nowhere else"), (4, None)]
+    got = [r for r in linededup.line_report(docs_of(spark, rows)).collect() if r.doc_id == 3]
+    assert len(got) == 2 and got[0] == got[1]
+    assert (got[0].n_shared, got[0].n_repeats, got[0].n_links, got[0].first_doc) == (3, 2, 1, 1)
+    assert [tuple(x) for x in got[0].first_docs] == [(1, 1, len(near)), (2, 1, len(long)), (3, 1, 32)]
+    part, rest = "thirty characters repeated here", "and then a good deal more text that only this very row has, at its full length"
+    twice = linededup.dedup_lines(docs_of(spark, [(1, part), (2, f"{part}\n{rest}"), (2, f"{part}\n{rest}")])).collect()
+    assert [r.text for r in twice if r.doc_id == 2] == [rest] * 2
+
+
 def test_common_keys_change_no_link(spark, monkeypatch):
     rnd = random.Random(8)
     rows = [(i, "all lines begin alike and then differ " + "".join(rnd.choice("ab") for _ in range(4))) for i in range(60)]
