@@ -252,6 +252,20 @@ def test_search_recall_and_odd_vectors(spark):
     assert [tuple(r) for r in ivfpq.search(few, F.col("vec_id") == 0).collect()] == [(0, 1, 1, 1.0)]
 
 
+def test_search_recall_by_codes(spark):
+    rnd = np.random.default_rng(9)
+    x = rnd.normal(size=(2000, 16)).astype(float)
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    # lists of about 22 members: 5 of each block are chosen by codes alone
+    got = ivfpq.search(rows, F.col("vec_id") % 100 == 0, rerank=5).toPandas()
+    hits = 0
+    for q, found in got.groupby("query_id"):
+        d = np.sqrt(((x - x[q]) ** 2).sum(1))
+        hits += len({i for i in np.argsort(d) if i != q and d[i] <= np.sort(d)[10]} & set(found.vec_id))
+    print("recall by codes", hits / 200)
+    assert hits >= 0.8 * 10 * 20
+
+
 def test_classifiers(spark):
     rnd = random.Random(1)
     plain = lambda: " ".join(rnd.choice("river stone walks along the quiet morning light".split()) for _ in range(30))
