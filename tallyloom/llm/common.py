@@ -21,22 +21,43 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or (local runs) a folder under the warehouse."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or (local runs only) a folder under the warehouse.
+
+    On a cluster without that setting there is no folder that all machines are known to share, so this refuses.
+    """
     configured = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_stages"
 
 
+_OPEN: list[Stages] = []
+
+
+def opened() -> int:
+    """A mark of the stage tables made so far, for close_since."""
+    return len(_OPEN)
+
+
+def close_since(mark: int) -> None:
+    """Delete the stage tables of operators called since the mark, whose results are written or no longer needed."""
+    while len(_OPEN) > mark:
+        _OPEN.pop().close()
+
+
 class Stages:
     """Intermediate tables of one operator call, written as Parquet to the shared folder.
 
     A written table cuts lineage: a lost executor costs at most the tasks since the last stage, never the whole plan.
-    Tables that the returned DataFrame still reads stay in the folder; whoever owns the folder clears it after the job.
+    Tables that the returned DataFrame still reads stay until close_since is called, once that result is written.
     """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root = spark, f"{shared_dir(spark)}/tallyloom/{name}-{uuid.uuid4().hex[:12]}"
+        self.registered: list[str] = []
+        _OPEN.append(self)
 
     def put(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{name}"
@@ -46,6 +67,7 @@ class Stages:
     def put_by(self, df: DataFrame, name: str, key: str) -> DataFrame:
         """As put, dealt into buckets by a key that few rows share: joins on it read the table in place."""
         path, called = f"{self.root}/{name}", self._called(name)
+        self.registered.append(called)
         df.write.format("parquet").option("compression", "zstd").option("path", path).bucketBy(partitions(self.spark), key).saveAsTable(called)
         return self.spark.table(called)
 
@@ -54,13 +76,19 @@ class Stages:
 
     def drop(self, *names: str) -> None:
         for name in names:
-            self.spark.sql(f"DROP TABLE IF EXISTS {self._called(name)}")
+            if (called := self._called(name)) in self.registered:
+                self.spark.sql(f"DROP TABLE IF EXISTS {called}")
         jvm = self.spark.sparkContext._jvm
         conf = self.spark.sparkContext._jsc.hadoopConfiguration()
         for name in names:
             path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}" if name else self.root)
             path.getFileSystem(conf).delete(path, True)
 
+    def close(self) -> None:
+        for called in self.registered:
+            self.spark.sql(f"DROP TABLE IF EXISTS {called}")
+        self.drop("")
+
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -100,7 +128,8 @@ class Ids:
 
     The public pre-token pattern looks ahead only to split runs of white space. Where a text has no two adjacent white
     characters, the same pattern without look-ahead gives the same pre-tokens and runs about twice as fast; other texts
-    take the full pattern. tests/llm compares both with the `tokenizers` library.
+    take the full pattern. Added tokens of the vocabulary stand for themselves wherever a text spells them out.
+    tests/llm compares both with the `tokenizers` library.
     """
 
     def __init__(self, path: str | None = None):
@@ -112,16 +141,20 @@ class Ids:
         with open(path or public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f:
             spec = json.load(f)
         raw = _byte_alphabet()
-        special = {x["content"] for x in spec.get("added_tokens", [])}
+        special = {x["content"]: x["id"] for x in spec.get("added_tokens", [])}
         ranks = {bytes(raw[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in special}
+        #: the numpy type that holds every id
+        self.kind = np.uint16 if max([*ranks.values(), *special.values()]) < 1 << 16 else np.uint32
         self.pattern = public_tokenizers.PATTERN
         plain = self.pattern.replace(r"|\s+(?!\S)|\s+", r"|\s")
-        self.full = tiktoken.Encoding("full", pat_str=self.pattern, mergeable_ranks=ranks, special_tokens={})
-        self.plain = tiktoken.Encoding("plain", pat_str=plain, mergeable_ranks=ranks, special_tokens={})
+        self.full = tiktoken.Encoding("full", pat_str=self.pattern, mergeable_ranks=ranks, special_tokens=special)
+        self.plain = tiktoken.Encoding("plain", pat_str=plain, mergeable_ranks=ranks, special_tokens=special)
+        self.special = re.compile("|".join(map(re.escape, sorted(special, key=len, reverse=True))) or "(?!)")
 
     def encode(self, text: str) -> list[int]:
-        """Ids of the whole text, without special tokens."""
-        return (self.full if _TWO_SPACES.search(text) else self.plain).encode_ordinary(text)
+        """Ids of the whole text; no token is put in before or behind it."""
+        which = self.full if _TWO_SPACES.search(text) else self.plain
+        return which.encode(text, allowed_special="all") if self.special.search(text) else which.encode_ordinary(text)
 
 
 def _byte_alphabet() -> dict[str, int]:

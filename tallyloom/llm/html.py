@@ -24,7 +24,10 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 HIDDEN = frozenset("script style noscript template head title iframe object svg canvas select option textarea button".split())
 INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br img input".split())
 CLOSES_P = frozenset("address article aside blockquote div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
-SELF_NESTED = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table", "tbody", "thead", "tfoot"}, "td": {"tr", "table"}, "th": {"tr", "table"}}
+#: Elements of hidden text whose end tag authors leave out: a block cannot stand in them, so it closes them.
+CLOSED_BY_BLOCK = ("head", "option", "optgroup", "select", "button", "svg")
+IN_HEAD = frozenset("base link meta title style script noscript template".split())
+SELF_NESTED = {"option": {"select", "datalist"}, "li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table", "tbody", "thead", "tfoot"}, "td": {"tr", "table"}, "th": {"tr", "table"}}
 TAGS = "html body article main section div p h1 h2 h3 h4 ul ol li table tr td blockquote pre nav header footer aside form figure figcaption dl dd dt address".split()
 # Parts of class, id and role names that tell an element's purpose.
 PURPOSES = {
@@ -58,43 +61,60 @@ class Node:
 
 
 class Page(HTMLParser):
-    """Nodes in page order, and the runs of text between block boundaries, each with the block element that holds it."""
+    """Nodes in page order, and the runs of text between block boundaries, each with the block element that holds it.
+
+    Where open elements lie is kept by tag and for blocks, and text is summed up the tree once at the end, so the work is
+    linear in the page however deep its elements nest.
+    """
 
     def __init__(self, html: str, marker: str | None = None):
         super().__init__(convert_charrefs=True)
         self.marker, self.nodes, self.open, self.runs = marker, [Node("html", -1)], [0], []
         self.buffer: list[str] = []
+        self.places: dict[str, list[int]] = {}  # of each tag, and of blocks, the depths at which one is open
+        self.blocks = [0]
         self.holder, self.hidden, self.links = 0, 0, 0
         self.feed(html)
         self.close()
         self._flush()
+        for node in reversed(self.nodes[1:]):
+            above = self.nodes[node.parent]
+            above.text, above.linked, above.stops = above.text + node.text, above.linked + node.linked, above.stops + node.stops
 
     def _flush(self) -> None:
         if self.buffer and (text := _SPACE.sub(" ", "".join(self.buffer)).strip()):
             self.runs.append((self.holder, text))
         self.buffer = []
 
+    def _top(self, *tags: str) -> int:
+        """The depth of the innermost open element of one of these tags, or -1."""
+        return max((self.places[t][-1] for t in tags if self.places.get(t)), default=-1)
+
     def _pop(self, to: int) -> None:
         while len(self.open) > to:
             node = self.nodes[self.open.pop()]
+            self.places[node.tag].pop()
             self.hidden -= node.tag in HIDDEN
             self.links -= node.tag == "a"
             if node.tag not in INLINE:
+                self.blocks.pop()
                 self._flush()
 
     def handle_starttag(self, tag, attrs):
         if tag == "html":
             return
-        tags = [self.nodes[i].tag for i in self.open]
-        if tag in CLOSES_P and "p" in tags:
-            self._pop(len(tags) - 1 - tags[::-1].index("p"))
+        if tag == "body" or (tag in CLOSES_P and self.hidden):
+            for name in CLOSED_BY_BLOCK:
+                if (at := self._top(name)) > 0:
+                    self._pop(at)
+        elif self.places.get("head") and tag not in IN_HEAD and not self._top(*IN_HEAD) > self._top("head"):
+            self._pop(self._top("head"))
+        if tag in CLOSES_P and (at := self._top("p")) > 0:
+            self._pop(at)
         elif tag in SELF_NESTED:
-            for k in range(len(tags) - 1, 0, -1):
-                if tags[k] in SELF_NESTED[tag]:
-                    break
-                if tags[k] == tag or {tags[k], tag} <= {"dt", "dd"} or {tags[k], tag} <= {"td", "th"}:
-                    self._pop(k)
-                    break
+            alike = ("dt", "dd") if tag in ("dt", "dd") else ("td", "th") if tag in ("td", "th") else (tag,)
+            if (at := self._top(*alike)) > max(0, self._top(*SELF_NESTED[tag])):
+                self._pop(at)
         if tag not in INLINE:
             self._flush()
         elif tag in ("br", "wbr"):
@@ -108,6 +128,9 @@ class Page(HTMLParser):
         if self.marker and self.marker in values:
             node.label = values[self.marker] == "1"
         self.nodes[at].children.append(len(self.nodes))
+        self.places.setdefault(tag, []).append(len(self.open))
+        if tag not in INLINE:
+            self.blocks.append(len(self.open))
         self.open.append(len(self.nodes))
         self.nodes.append(node)
         self.hidden += tag in HIDDEN
@@ -119,30 +142,23 @@ class Page(HTMLParser):
             self.handle_endtag(tag)
 
     def handle_endtag(self, tag):
-        for k in range(len(self.open) - 1, 0, -1):
-            if self.nodes[self.open[k]].tag == tag:
-                self._pop(k)
-                break
-            if tag in INLINE and self.nodes[self.open[k]].tag not in INLINE:
-                break
+        at = self._top(tag)
+        if at > 0 and not (tag in INLINE and self.blocks[-1] > at):
+            self._pop(at)
 
     def handle_data(self, data):
+        if self.hidden and self.nodes[self.open[-1]].tag == "head" and data.strip():
+            self._pop(self._top("head"))  # text cannot stand in head itself
         if self.hidden:
             return
         if not self.buffer:
-            k = len(self.open) - 1
-            while k and self.nodes[self.open[k]].tag in INLINE:
-                k -= 1
-            self.holder = self.open[k]
+            self.holder = self.open[self.blocks[-1]]
         self.buffer.append(data)
-        n, stops = len(data.strip()), data.count(".") + data.count(",")
+        n, last = len(data.strip()), self.nodes[self.open[-1]]
         self.nodes[self.holder].own += n
-        for i in self.open:
-            node = self.nodes[i]
-            node.text += n
-            node.stops += stops
-            if self.links:
-                node.linked += n
+        last.text += n
+        last.stops += data.count(".") + data.count(",")
+        last.linked += n if self.links else 0
 
 
 WIDTH = 2 * (len(TAGS) + 1 + len(_KINDS)) + 9
@@ -229,8 +245,9 @@ def train(pages: list[str], marker: str = "data-content", rounds: int = 1200, ra
 def extract(pages: DataFrame, model: Model) -> DataFrame:
     """page_id, url, text (main text of the whole html), n_chars for every row of pages (page_id, url, html).
 
-    Null, empty or text-less html: an empty text. Broken markup: parsed as far as it goes. Repeated rows: each. Null
-    ids and urls: kept. Empty table: no rows. Other columns are ignored.
+    Null, empty or text-less html: an empty text. Broken markup: parsed as far as it goes, and a block closes a head,
+    option, select, button or svg left open. Very long pages: whole, in time linear in their length. Repeated rows:
+    each. Null ids and urls: kept. Empty table: no rows. Other columns are ignored, whatever their names.
     """
     small_batches(pages.sparkSession)
     held = pages.sparkSession.sparkContext.broadcast(model)

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.llm.common import below, small_batches
+from tallyloom.llm.common import small_batches
 
 #: (indices, values) of a text: distinct indices below the model's size.
 Features = tuple[np.ndarray, np.ndarray]
@@ -64,13 +64,27 @@ def _difference(a: Features, b: Features) -> Features:
     return at[d != 0], d[d != 0]
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, label: str, fold: Column, most: int) -> list[tuple[int, str, int]]:
-    """(doc_id, text, label) of at most `most` labelled rows, those of the smallest hash of doc_id: a documented bound."""
-    known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & fold).select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("label")).dropDuplicates(["doc_id"])
-    share = min(1.0, 1.3 * most / max(1, known.count()))
-    ids = known.withColumn("_h", F.xxhash64("doc_id", F.lit(3))).where(F.col("_h") <= below(share)).orderBy("_h", "doc_id").limit(most).drop("_h")
-    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(ids), "doc_id").where("text is not null")
-    return sorted({(r.doc_id, r.text, r.label) for r in found.toLocalIterator()})
+def training_rows(docs: DataFrame, labels: DataFrame, label: str, fold: Column, most: int, features: Callable[[str], list[Features]]) -> list[tuple[int, list[Features], int]]:
+    """(doc_id, features(text), label) of at most `most` labelled documents, those of the smallest hash of doc_id.
+
+    This bound is the one thing that is sampled. A doc_id whose labels contradict one another is not learned from; of
+    rows that share a doc_id, the one of smallest text hash stands for it. Features are made where the texts are, so what
+    reaches the driver is bounded by `most` and the size of the feature space, whatever the texts' lengths.
+    """
+    known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & fold).select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("label"))
+    known = known.groupBy("doc_id").agg(F.min("label").alias("label"), F.max("label").alias("other")).where(F.col("label") == F.col("other")).drop("other")
+    ids = known.withColumn("_h", F.xxhash64("doc_id", F.lit(3))).orderBy("_h", "doc_id").limit(most).drop("_h")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text is not null").join(F.broadcast(ids), "doc_id")
+    texts = texts.groupBy("doc_id", "label").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            made = [features(t) for t in pdf.text]
+            pack = lambda k, kind: [[np.asarray(f[k], kind).tobytes() for f in fs] for fs in made]
+            yield pd.DataFrame({"doc_id": pdf.doc_id, "label": pdf.label, "at": pack(0, np.int32), "x": pack(1, np.float64)})
+
+    found = texts.mapInPandas(run, "doc_id long, label int, at array<binary>, x array<binary>").toLocalIterator()
+    return sorted(((r.doc_id, [(np.frombuffer(a, np.int32), np.frombuffer(x, np.float64)) for a, x in zip(r["at"], r.x)], r.label) for r in found), key=lambda r: r[0])
 
 
 def score(docs: DataFrame, features: Callable[[str], Features], weights: np.ndarray, cut: float) -> DataFrame:

@@ -176,8 +176,15 @@ def lines_of(text: Column) -> Column:
     return F.transform(F.split(F.coalesce(text, F.lit("")), "\n", -1), lambda x: F.btrim(x, F.lit(" \t\x0b\x0c\r")))
 
 
-def line_id(line: Column) -> Column:
-    return F.xxhash64(line, F.lit(17))
+def line_id(line: Column, seed: int = 17) -> Column:
+    return F.xxhash64(line, F.lit(seed))
+
+
+def _by_id(lines: DataFrame) -> DataFrame:
+    """Distinct lines of (id, line, doc_id, row, at): id, line, first place, n, and whether another line has the same id."""
+    place = F.struct(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("doc_id"), "row", "at")
+    mark = line_id(F.col("line"), 91)
+    return lines.groupBy("id").agg(F.min("line").alias("line"), F.min(place).alias("first"), F.count("*").alias("n"), (F.min(mark) != F.max(mark)).alias("shared"))
 
 
 def linked_lines(lines: DataFrame, stages: Stages) -> DataFrame:
@@ -259,9 +266,17 @@ class LineClasses:
         # rows with one doc_id and one text are alike, and get one and the same result
         self.rows = rows.withColumn("row", F.xxhash64("doc_id", "text"))
         each = self.rows.select("doc_id", "row", F.posexplode(lines_of(F.col("text"))).alias("at", "line")).where("line <> ''")
-        place = F.struct(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("doc_id"), "row", "at")
-        distinct = each.groupBy(line_id(F.col("line")).alias("id")).agg(F.min("line").alias("line"), F.min(place).alias("first"), F.count("*").alias("n"))
-        distinct = self.stages.put_by(distinct, "distinct", "id")
+        each = each.withColumn("id", line_id(F.col("line")))
+        distinct = self.stages.put_by(_by_id(each), "distinct", "id")
+        # two lines under one 64-bit id: some thousands of 10**12 lines. A second hash tells, and such lines get other ids
+        shared = self.stages.put(distinct.where("shared").select(F.col("id").alias("shared_id")), "shared")
+        if not shared.isEmpty():
+            marked = each.join(shared, F.col("id") == F.col("shared_id"), "left").withColumn("id", F.when(F.col("shared_id").isNotNull(), line_id(F.col("line"), 5)).otherwise(F.col("id")))
+            each = marked.drop("shared_id")
+            renamed = distinct.where("not shared").unionByName(_by_id(marked.where("shared_id is not null").drop("shared_id")))
+            distinct = self.stages.put_by(renamed, "renamed", "id")
+            if not distinct.groupBy("id").agg(F.max("shared").alias("shared"), F.count("*").alias("n")).where("shared or n > 1").isEmpty():
+                raise ValueError("different lines share ids after both hashes")
         self.links = linked_lines(distinct.select("id", "line"), self.stages)
         groups = components(self.links, self.stages, "cc")
         both = self.links.union(self.links.select("b", "a"))
@@ -271,7 +286,7 @@ class LineClasses:
         firsts = self.stages.put(classed.groupBy("class").agg(F.min("first").alias("keeper"), F.sum("n").alias("class_size")), "firsts")
         self.classes = self.stages.put(classed.join(firsts, "class").select("id", "class", "keeper", "class_size", F.coalesce("n_links", F.lit(0)).alias("n_links")), "classes")
         again = ~((F.col("keeper.row") == F.col("row")) & (F.col("keeper.at") == F.col("at")))
-        found = each.select("row", "at", F.length("line").alias("size"), line_id(F.col("line")).alias("id")).join(self.classes, "id")
+        found = each.select("row", "at", F.length("line").alias("size"), "id").join(self.classes, "id")
         found = found.select("row", F.col("keeper.doc_id").alias("first"), F.struct("at", "size", "n_links", again.alias("again")).alias("line"))
         # sets, as repeated rows bring each of their lines once a copy
         by_first = found.repartition("row").groupBy("row", "first").agg(F.collect_set("line").alias("lines"))
@@ -286,48 +301,54 @@ class LineClasses:
             F.sort_array(F.collect_list(F.struct(known.alias("doc_id"), "n_lines", "n_chars"))).alias("first_docs"),
         )
         self.per_row = self.stages.put(per_row, "per_row")
-        self.stages.drop("distinct", "degree", "classed", "firsts", "cc-0")
+        self.stages.drop("distinct", "renamed", "shared", "degree", "classed", "firsts", "cc-0")
 
 
-def dedup_lines(docs: DataFrame, most_share: float = 0.5, percent: int = 80, width: int = 5) -> DataFrame:
+def dedup_lines(docs: DataFrame, percent: int = 80, width: int = 5) -> DataFrame:
     """docs (doc_id, text, ...) with repeated lines taken out of text; all columns stay.
 
-    A line stays where it is the first of its class in the corpus, or empty. A row whose repeats make up more than
-    `most_share` of its characters may be a copy as a whole, which fragments would hide from a document-level operator.
-    It is left as it is only where near_duplicates(percent, width) puts it in a group whose smallest doc_id is of a row
-    under that share: such a row keeps its present text, so the same operator run on the result still finds the group
-    and removes the copy. All other rows lose their repeats. Null text: stays null. Repeated rows (one doc_id, one
-    text): alike. Null doc_id: ordered last. Empty table: no rows. Extra columns: kept, whatever their names, but for
-    the reserved `_row`, `_repeats`, `_part` and `_copy`.
+    Lines are compared without white space at their ends, and count as repeated within the edits of `allowed`: none
+    under 10 characters, one under 20, two from there on. A line stays where it is the first of its class in the corpus,
+    or empty. A row that near_duplicates(percent, width) finds to be a copy of an earlier document would be hidden from
+    that operator by what is left of it. It is left as it is, but only where the same operator, run on the result, still
+    finds it in the group of a document that is no such copy, and so removes it. All other rows lose their repeats.
+
+    Null text: stays null. Repeated rows (one doc_id, one text): alike. Null doc_id: ordered last, and never left as a
+    copy. Ties for the first place: by doc_id, then row hash, then line number. Very long texts and lines: whole. Empty
+    table: no rows. Extra columns: kept, whatever their names, but for the reserved `_row`, `_repeats` and `_copy`.
     """
     classes = LineClasses(docs)
-    drops = classes.per_row.where(F.size("repeats") > 0).select(F.col("row").alias("_row"), F.col("repeats").alias("_repeats"), F.col("repeat_chars").alias("_part"))
+    put = classes.stages.put
+    drops = classes.per_row.where(F.size("repeats") > 0).select(F.col("row").alias("_row"), F.col("repeats").alias("_repeats"))
     doc_id, text = F.col("doc_id").cast("long"), F.col("text").cast("string")
     out = docs.withColumn("_row", F.xxhash64(doc_id, text)).join(drops, "_row", "left")
-    lines = F.split(F.col("text"), "\n", -1)
+    lines, cut = F.split(F.col("text"), "\n", -1), F.col("_repeats").isNotNull()
     kept = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains(F.col("_repeats"), i)), "\n")
-    over = F.coalesce(F.col("_part") > F.lit(most_share) * F.length("text"), F.lit(False))
-    cut = F.col("_repeats").isNotNull()
-    tried = classes.stages.put(out.select(doc_id.alias("doc_id"), F.when(cut & ~over, kept).otherwise(text).alias("text"), over.alias("over")), "tried")
-    mostly = classes.stages.put(tried.where("over").select("doc_id").distinct(), "mostly")
-    if not mostly.isEmpty():
-        groups = neardup.near_duplicates(tried, percent=percent, width=width).where("not kept").select("doc_id", "component_id").distinct()
-        copies = groups.join(mostly, "doc_id", "left_semi").join(mostly.select(F.col("doc_id").alias("component_id")), "component_id", "left_anti")
-        copies = classes.stages.put(copies.select(F.col("doc_id").alias("_copy")).distinct(), "copies")
-        out = out.join(copies, doc_id == F.col("_copy"), "left")
-        cut = cut & ~(over & F.col("_copy").isNotNull())
-    classes.stages.drop("tried", "mostly")
+    copies = put(_copies(docs, percent, width).select("doc_id").distinct(), "copies")
+    if not copies.isEmpty():
+        tried = out.join(copies.select(F.col("doc_id").alias("_copy")), doc_id == F.col("_copy"), "left")
+        tried = put(tried.select(doc_id.alias("doc_id"), F.when(cut & F.col("_copy").isNull(), kept).otherwise(text).alias("text")), "tried")
+        still = _copies(tried, percent, width).join(copies, "doc_id", "left_semi").join(copies.select(F.col("doc_id").alias("component_id")), "component_id", "left_anti")
+        whole = put(still.select(F.col("doc_id").alias("_copy")).distinct(), "whole")
+        out, cut = out.join(whole, doc_id == F.col("_copy"), "left"), cut & F.col("_copy").isNull()
+    classes.stages.drop("tried", "copies")
     return out.withColumn("text", F.when(cut, kept).otherwise(F.col("text"))).select(*docs.columns)
 
 
+def _copies(docs: DataFrame, percent: int, width: int) -> DataFrame:
+    return neardup.near_duplicates(docs, percent=percent, width=width).where("not kept and doc_id is not null").select("doc_id", "component_id").distinct()
+
+
 def line_report(docs: DataFrame) -> DataFrame:
-    """One row per distinct (doc_id, text): n_lines, n_shared (lines in a class with others), n_repeats, n_links, first_doc,
+    """One row for each row of docs (doc_id, text): n_lines, n_shared (lines in a class with others), n_repeats, n_links, first_doc,
     first_docs.
 
     n_links counts the links of the row's lines to different lines; first_doc is the smallest doc_id that holds the
     first occurrence of one of its classes (null: it shares no line). first_docs has each such document (doc_id, n_lines,
-    n_chars) with the lines of this row in its classes and their characters; they add up to n_shared. Null or empty text:
-    no lines, and no first_docs.
+    n_chars) with the lines of this row in its classes and their characters; they add up to n_shared. Lines are linked within
+    the edits of `allowed`: none under 10 characters, one under 20, two from there on. Null or empty text: no lines, and
+    no first_docs. Repeated rows: alike, as one. Null doc_id: kept, ordered last. Very long texts: whole. Empty table: no
+    rows. Other columns are ignored, whatever their names.
     """
     classes = LineClasses(docs)
     rows = classes.rows.select("doc_id", "row", F.size(F.filter(lines_of(F.col("text")), lambda x: x != "")).alias("n_lines")).join(classes.per_row, "row", "left")

@@ -20,6 +20,10 @@ from tallyloom.llm.common import Stages, mix, small_batches
 from tallyloom.llm.graph import components
 
 BANDS, ROWS, BITS, SET_BITS, CHUNK = 30, 4, 512, 2048, 256
+#: Chunks of a bucket that one task compares with as many others.
+DEALT = 8
+#: Members outside a bucket's main component from which it is split by further bands, and how often.
+HOT, SPLITS = 1024, 2
 SAMPLES = BANDS * ROWS
 _RNG = np.random.default_rng(20240229)
 _A = _RNG.integers(0, 2**63, SAMPLES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -153,12 +157,35 @@ def _side(nodes: DataFrame, name: str) -> DataFrame:
     return nodes.select(F.col("node").alias(name), F.concat("sketch", "parity").alias(f"{name}_sketch"), F.col("n_shingles").alias(f"{name}_n"))
 
 
-def _chunks(members: DataFrame, nodes: DataFrame, name: str, *by: str) -> DataFrame:
-    """Members of each bucket in chunks of about CHUNK, dealt by a hash: a bucket's size bounds no task."""
-    salt = F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / CHUNK))
-    rows = members.join(nodes.select("node", "n_shingles", F.concat("sketch", "parity").alias("sketch")), "node")
+def _chunks(members: DataFrame, nodes: DataFrame, name: str, other: str, *by: str) -> DataFrame:
+    """Members of each bucket in chunks of about CHUNK by a hash, each chunk dealt to every group of the other side's chunks.
+
+    n_a and n_b hold how many members of a bucket each side has. A join on bucket, deal_a and deal_b then compares DEALT
+    chunks with DEALT others under one key, whatever the bucket's size.
+    """
+    chunks = lambda x: F.ceil(F.greatest(F.col(f"n_{x}"), F.lit(1)) / CHUNK)
+    groups = lambda x: F.ceil(chunks(x) / DEALT)
+    chunk = F.pmod(F.xxhash64("node"), chunks(name)).alias("chunk")
+    rows = members.join(nodes.select("node", "n_shingles", F.concat("sketch", "parity").alias("sketch")), "node").select("*", chunk, groups(name).alias("own"), groups(other).alias("others"))
     lists = (("node", "node"), ("component", "part"), ("n_shingles", "n"), ("sketch", "sketch"))
-    return rows.groupBy("bucket", *by, salt.alias(f"{name}_chunk")).agg(*(F.collect_list(c).alias(f"{name}_{to}") for c, to in lists))
+    rows = rows.groupBy("bucket", "chunk", "own", "others", *by).agg(*(F.collect_list(c).alias(f"{name}_{to}") for c, to in lists))
+    return rows.select("*", F.pmod("chunk", "own").alias(f"deal_{name}"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("others") - 1)).alias(f"deal_{other}")).drop("own", "others", "chunk")
+
+
+def _mixed(members: DataFrame) -> DataFrame:
+    """Of buckets (bucket, component, ...) that span several components: the main one, n_b members, n_a of them outside it."""
+    share = members.groupBy("bucket", "component").agg(F.count("*").alias("n"))
+    main = F.max_by("component", F.struct("n", "component")).alias("main")
+    return share.groupBy("bucket").agg(main, F.sum("n").alias("n_b"), (F.sum("n") - F.max("n")).alias("n_a"), F.count("*").alias("k")).where("k > 1").drop("k")
+
+
+def _split(members: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Members of hot buckets by one further band that they share; of two bands, the later follows the earlier."""
+    bands = nodes.select("node", F.posexplode("bands").alias("next", "other"))
+    rows = members.join(bands, "node").where("next > band")
+    rows = rows.select(F.xxhash64("bucket", "other").alias("bucket"), F.col("next").alias("band"), "node", "component")
+    several = rows.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("bucket")
+    return rows.join(several, "bucket")
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 5, slack: float = 0.2) -> DataFrame:
@@ -172,11 +199,12 @@ def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 5, slack: f
     3. Pairs whose sketches estimate a similarity under percent/100 - slack (six standard deviations), or prove too many
        differing shingles, are let go; the others are confirmed on their full sets; components follow.
     4. Within buckets that still span several components, pairs across components are screened in the same way, a chunk
-       of members against another, and confirmed; components follow again. So a pair that shares a bucket is left unchecked only where
-       its ends are already in one component.
+       of members against another, and confirmed; components follow again. A bucket with more than HOT members outside
+       its main component is split by further bands first. So a pair that shares a bucket is left unchecked only where
+       its ends are already in one component, or where it shares no second (at the second split, no third) band.
 
-    30 bands of 4 rows miss a pair of similarity 0.85 with probability 3e-10, and one of 0.8 with 1e-7.
-    Null or empty texts, or white space only: n_shingles 0, a component of their own. Texts under `width` words: one
+    30 bands of 4 rows miss a pair of similarity 0.85 with probability 3e-10, and one of 0.8 with 1e-7; in a bucket split
+    twice, with 2e-7 and 3e-5. Very long texts: all their shingles. Null or empty texts, or white space only: n_shingles 0, a component of their own. Texts under `width` words: one
     shingle. Null doc_id: component_id null where the whole class has none, kept as null-safe equality. Rows that share
     a doc_id count as one document and come back once each. Empty table: no rows. Other columns are ignored.
     """
@@ -188,7 +216,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 5, slack: f
     classes = stages.put(sigs.where("set_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("node")).where("node is not null"), "classes")
     nodes = sigs.join(classes.select(F.col("set_id").alias("of"), "node"), (F.col("doc_id") == F.col("node")) & (F.col("set_id") == F.col("of"))).select("node", "n_shingles", "bands", "sketch", "parity")
     nodes = stages.put(nodes, "nodes")
-    in_bands = nodes.select("node", F.explode("bands").alias("bucket"))
+    in_bands = nodes.select("node", F.posexplode("bands").alias("band", "bucket"))
     leaders = in_bands.groupBy("bucket").agg(F.min("node").alias("leader"), F.count("*").alias("n")).where("n > 1")
     leaders = stages.put(leaders, "leaders")
     met = stages.put(in_bands.join(leaders, "bucket"), "met")
@@ -201,15 +229,20 @@ def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 5, slack: f
     edges = _confirmed(texts, pairs, stages, "star", percent, width)
     groups = stages.put(components(edges, stages, "cc1"), "groups")
 
-    wide = met.where("n > 2").join(groups, "node", "left").select("bucket", "leader", "n", "node", F.coalesce("component", "node").alias("component"))
-    wide = stages.put(wide, "wide")
-    share = wide.groupBy("bucket", "component").agg(F.count("*").alias("n"))
-    mixed = share.groupBy("bucket").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.count("*").alias("k")).where("k > 1").select("bucket", "main")
-    mixed = stages.put(mixed, "mixed")
-    open_ = stages.put(wide.join(mixed, "bucket").where("node <> leader"), "open")
-    few = stages.put(_chunks(open_.where("component <> main"), nodes, "a"), "few")
-    rest = stages.put(_chunks(open_, nodes, "b", "main"), "rest")
-    across = _crossed(few.join(rest, "bucket"), screen).distinct()
+    wide = met.where("n > 2 and node <> leader").join(groups, "node", "left").select("bucket", "band", "node", F.coalesce("component", "node").alias("component"))
+    open_ = stages.put(wide, "open-0")
+    for turn in range(SPLITS + 1):
+        mixed = stages.put(_mixed(open_), f"mixed-{turn}")
+        hot = mixed.where(F.col("n_a") > HOT).select("bucket") if turn < SPLITS else None
+        few = mixed if hot is None else mixed.where(F.col("n_a") <= HOT)
+        ready = stages.put(open_.join(few, "bucket"), f"ready-{turn}")
+        waiting = ready if turn == 0 else waiting.unionByName(ready)
+        if hot is None or hot.isEmpty():
+            break
+        open_ = stages.put(_split(open_.join(hot, "bucket", "left_semi"), nodes), f"open-{turn + 1}")
+    few = stages.put(_chunks(waiting.where("component <> main"), nodes, "a", "b"), "few")
+    rest = stages.put(_chunks(waiting, nodes, "b", "a", "main"), "rest")
+    across = _crossed(few.join(rest, ["bucket", "deal_a", "deal_b"]), screen).distinct()
     more = _confirmed(texts, across, stages, "across", percent, width)
     if more.isEmpty():
         final = groups
@@ -221,7 +254,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 5, slack: f
     out = out.select("doc_id", "n_shingles", F.when(F.col("set_id").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
     # rows that share a doc_id but not a text still are one document
     out = out.select("*", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
-    stages.drop("nodes", "leaders", "met", "texts", "star-pairs", "star-links", "groups", "wide", "mixed", "open", "few", "rest", "across-pairs", "across-links", "classes", "final", "cc1-0", "cc2-0")
+    stages.drop("nodes", "leaders", "met", "texts", "star-pairs", "star-links", "groups", "few", "rest", *(f"{x}-{i}" for i in range(SPLITS + 1) for x in ("open", "mixed", "ready")), "across-pairs", "across-links", "classes", "final", "cc1-0", "cc2-0")
     return out
 
 

@@ -6,6 +6,7 @@ far among those with room, largest parts first. The cost of a part of n tokens i
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -48,35 +49,41 @@ def assign(lengths: list[int], capacity: int, linear: float = 1.0, quadratic: fl
     return out
 
 
-def pack(docs: DataFrame, capacity: int = 2048, end_id: int = 1, tokenizer: str | None = None, linear: float = 1.0, quadratic: float = 1 / 1024, docs_per_bin: int = 1000) -> DataFrame:
+def pack(docs: DataFrame, capacity: int = 2048, end_id: int = 1, tokenizer: str | None = None, linear: float = 1.0, quadratic: float = 1 / 1024, docs_per_bin: int = 1000, bytes_per_bin: int = 4_000_000) -> DataFrame:
     """Pack every row of docs (doc_id, text); returns one row per piece, with its ids as little-endian unsigned 32-bit.
 
-    Rows are dealt to bins by a hash of doc_id plus their place in the input split, so a bin holds about `docs_per_bin`
-    rows even if one doc_id or text fills the table; bins grow in number with the input, and each pads less than one
-    sequence. Null text: as empty, so the end id alone. Repeated rows: each is packed. Null doc_id: kept, as null. Ties
-    in length: by doc_id, then start, then ids. Empty table: no rows. Other columns of docs are ignored.
+    Pieces of at most `capacity` ids are dealt to bins: piece k of a row goes to the bin of the row's hash plus k, and
+    like rows count on, so neither a giant document nor one that fills the table makes a large bin. The dealing depends
+    on the rows of a split alone, not on their order, so a task that is run again deals alike. Bins hold about
+    `docs_per_bin` rows or `bytes_per_bin` bytes of text, whichever is less, whatever the table's size; each pads less
+    than one sequence. Very long texts: as many pieces as they need; one text at a time is held in memory.
+
+    Null text: as empty, so the end id alone. Repeated rows: each is packed. Null doc_id: kept, as null. Ties in
+    length: by doc_id, then start, then ids. Empty table: no rows. Other columns of docs are ignored.
     """
     small_batches(docs.sparkSession)
-    bins = max(1, -(-docs.count() // docs_per_bin))
+    size = docs.agg(F.count("*").alias("n"), F.sum(F.octet_length(F.col("text").cast("string"))).alias("b")).first()
+    bins = max(1, -(-size.n // docs_per_bin), -(-(size.b or 0) // bytes_per_bin))
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode, row = ids_of(tokenizer).encode, 0
+        ids_, seen = ids_of(tokenizer), Counter()
         for pdf in batches:
             out = []
             for doc_id, text in zip(pdf.doc_id, pdf.text):
-                ids = np.array([*(encode(text) if text else ()), end_id], dtype=np.uint16)
+                ids = np.array([*(ids_.encode(text) if text else ()), end_id], dtype=ids_.kind)
                 doc_id = None if pd.isna(doc_id) else int(doc_id)
-                at, row = xxhash.xxh3_64_intdigest(str(doc_id)) + row, row + 1
+                row = xxhash.xxh3_64_intdigest(f"{doc_id}\0{text or ''}".encode("utf-8", "surrogatepass"))
+                at, seen[row] = row + seen[row], seen[row] + 1
                 for start in range(0, len(ids), capacity):
                     part = ids[start : start + capacity]
-                    out.append(((at + start) % bins, doc_id, start, len(part), len(ids), part.tobytes()))
+                    out.append(((at + start // capacity) % bins, doc_id, start, len(part), len(ids), part.tobytes()))
             yield pd.DataFrame(out, columns=["bin", "doc_id", "start", "length", "doc_tokens", "raw"]).astype({"doc_id": "Int64"})
 
     def fill(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["length", "doc_id", "start", "raw"], ascending=[False, True, True, True], kind="stable", ignore_index=True)
-        first, out = int(pdf.bin[0]) << 32, []
+        first, kind, out = int(pdf.bin[0]) << 32, ids_of(tokenizer).kind, []
         for i, start, length, seq, offset in assign(pdf.length.tolist(), capacity, linear, quadratic):
-            ids = np.frombuffer(pdf.raw[i], np.uint16)[start : start + length]
+            ids = np.frombuffer(pdf.raw[i], kind)[start : start + length]
             out.append((pdf.doc_id[i], int(pdf.start[i]) + start, length, int(pdf.doc_tokens[i]), first + seq, offset, ids.astype("<u4").tobytes()))
         return pd.DataFrame(out, columns=["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "ids"])
 

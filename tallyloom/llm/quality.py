@@ -8,7 +8,7 @@ import zlib
 import numpy as np
 from pyspark.sql import Column, DataFrame
 
-from tallyloom.llm.common import Cache
+from tallyloom.llm.common import Cache, small_batches
 from tallyloom.llm.linear import Features, fit, score, training_rows
 
 SIZE = 1 << 18
@@ -17,7 +17,7 @@ _UPPER, _LOWER, _DIGIT = re.compile(r"[A-ZÀ-ÖØ-Þ]+"), re.compile(r"[^\W\d_A-
 
 def shape(word: str) -> str:
     """The word with runs of capitals, other letters and digits as one sign each, and punctuation as it is."""
-    return _DIGIT.sub("9", _LOWER.sub("x", _UPPER.sub("X", word)))[:12]
+    return _DIGIT.sub("9", _LOWER.sub("x", _UPPER.sub("X", word)))
 
 
 def _hash(s: str) -> int:
@@ -57,8 +57,11 @@ def quality(docs: DataFrame, labels: DataFrame, fold: Column, label: str = "qual
     """Score every whole text of docs (doc_id, text), learning from labels (doc_id, label) where `fold` holds.
 
     Returns doc_id, score (0 to 1), predicted (1 where score >= cut). The model is fitted on at most `most_rows`
-    labelled rows, chosen by a hash of doc_id. Null and empty texts: the intercept's score. No labels: every score
-    is 0.5. Repeated rows: scored each. Null doc_id: kept. Null labels: not learned from. Other columns: ignored.
+    labelled documents, chosen by a hash of doc_id (see training_rows). Null and empty texts: the intercept's score.
+    Very long texts: scored whole, by at most as many features as they have words. No labels: every score is 0.5.
+    Repeated rows: scored each. Empty table: no rows. Null doc_id: kept. Null or contradicting labels: not learned
+    from. Other columns: ignored.
     """
-    rows = training_rows(docs, labels, label, fold, most_rows)
-    return score(docs, features, fit([(features(text), y) for _, text, y in rows], SIZE, alpha=0.3, l1=0.3), cut)
+    small_batches(docs.sparkSession)
+    rows = training_rows(docs, labels, label, fold, most_rows, lambda text: [features(text)])
+    return score(docs, features, fit([(made[0], y) for _, made, y in rows], SIZE, alpha=0.3, l1=0.3), cut)

@@ -8,7 +8,7 @@ import zlib
 import numpy as np
 from pyspark.sql import Column, DataFrame
 
-from tallyloom.llm.common import Cache
+from tallyloom.llm.common import Cache, small_batches
 from tallyloom.llm.linear import Features, fit, score, training_rows
 
 SIZE = 1 << 18
@@ -27,7 +27,6 @@ IDENTITY_SWAPS = {
 _SWAP = IDENTITY_SWAPS | {b: a for a, b in IDENTITY_SWAPS.items()}
 
 
-
 def _places(word: str) -> tuple[int, ...]:
     keys = (word, *(f"{n}^{word[:n]}" for n in STEMS))
     return tuple(1 + zlib.crc32(k.encode("utf-8", "surrogatepass")) % (SIZE - 1) for k in keys)
@@ -51,19 +50,25 @@ def has_identity(text: str) -> bool:
     return not _SWAP.keys().isdisjoint(_WORD.findall(text.lower()))
 
 
-def train(rows: list[tuple[str, int]], fairness: float = 1.0) -> np.ndarray:
-    """Weights from (text, label). Rows with identity terms get a twin in which these are swapped."""
-    both = [(features(text), label) for text, label in rows]
-    twins = [features(text, True) if has_identity(text) else None for text, _ in rows]
-    return fit(both, SIZE, twins=twins, fairness=fairness, alpha=0.3, l1=1.0)
+def with_twin(text: str) -> list[Features]:
+    """The text's features, and where it holds an identity term, those of its counterfactual, in which terms are swapped."""
+    return [features(text), features(text, True)] if has_identity(text) else [features(text)]
+
+
+def train(rows: list[tuple[list[Features], int]], fairness: float = 1.0) -> np.ndarray:
+    """Weights from (with_twin(text), label)."""
+    return fit([(made[0], label) for made, label in rows], SIZE, twins=[made[1] if len(made) > 1 else None for made, _ in rows], fairness=fairness, alpha=0.3, l1=1.0)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, fold: Column, label: str = "toxic", most_rows: int = 8000, fairness: float = 1.0, cut: float = 0.3) -> DataFrame:
     """Score every whole text of docs (doc_id, text), learning from labels (doc_id, label) where `fold` holds.
 
     Returns doc_id, score (0 to 1), predicted (1 where score >= cut). The model is fitted on at most `most_rows`
-    labelled rows, chosen by a hash of doc_id. Null and empty texts: the intercept's score. No labels: every score
-    is 0.5. Repeated rows: scored each. Null doc_id: kept. Null labels: not learned from. Other columns: ignored.
+    labelled documents, chosen by a hash of doc_id (see training_rows). Null and empty texts: the intercept's score.
+    Very long texts: scored whole, by at most as many features as they have words. No labels: every score is 0.5.
+    Repeated rows: scored each. Empty table: no rows. Null doc_id: kept. Null or contradicting labels: not learned
+    from. Other columns: ignored.
     """
-    rows = training_rows(docs, labels, label, fold, most_rows)
-    return score(docs, features, train([(text, y) for _, text, y in rows], fairness), cut)
+    small_batches(docs.sparkSession)
+    rows = training_rows(docs, labels, label, fold, most_rows, with_twin)
+    return score(docs, features, train([(made, y) for _, made, y in rows], fairness), cut)

@@ -1,7 +1,6 @@
 """Corpus operators against brute force, round trips and awkward rows."""
 
 import random
-import zlib
 from collections import Counter
 
 import numpy as np
@@ -26,9 +25,10 @@ def test_ids_equal_the_library():
     from tokenizers import Tokenizer
 
     library, rnd = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")), random.Random(3)
-    library.encode_special_tokens = True
-    texts = ["".join(rnd.choice(" \n\t aB'sé9.漢💥") for _ in range(rnd.randint(0, 60))) for _ in range(500)] + ["<|endoftext|>"]
+    parts = ["\xa0", *" \n\taB'sé9.漢💥", "<|endoftext|>", "<|endoftext", "|>"]
+    texts = ["".join(rnd.choice(parts) for _ in range(rnd.randint(0, 60))) for _ in range(500)] + ["a <|endoftext|> b"]
     assert [ids_of().encode(t) for t in texts] == [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+    assert ids_of().encode("a <|endoftext|> b") == [64, 220, 50256, 275]
 
 
 def test_near_duplicates_equal_all_pairs(spark):
@@ -66,11 +66,36 @@ def test_template_leaks(spark):
     bench = spark.createDataFrame([(7, item), (8, None), (9, ""), (7, item)], "item_id long, text string")
     got = {(r.doc_id, r.item_id): r.n_changed for r in decontaminate.contaminated(docs_of(spark, rows), bench).collect()}
     assert set(got) == {(1, 7), (2, 7), (None, 7)} and got[1, 7] == 0 and got[2, 7] > 0
-    assert decontaminate.contaminated(docs_of(spark, [(3, mixed)]), bench.where("item_id > 7")).count() == 0
+    assert decontaminate.contaminated(docs_of(spark, [(3, mixed)]), bench).count() == 0  # after 3 hours, after 5 days; Bella, Carol
+    names = same.replace("did Bella", "did Carol")
+    assert decontaminate.contaminated(docs_of(spark, [(3, names)]), bench).count() == 0  # Anna's, Anna: Bella's, Carol
+    assert {tuple(r) for r in decontaminate.contaminated(docs_of(spark, rows), bench, most_broadcast=0).collect()} == {tuple(r) for r in decontaminate.contaminated(docs_of(spark, rows), bench).collect()}
+    assert decontaminate.contaminated(docs_of(spark, []), bench).count() == decontaminate.contaminated(docs_of(spark, rows), bench.limit(0)).count() == 0
     short = spark.createDataFrame([(1, "blue green red")], "item_id long, text string")
     assert [r.doc_id for r in decontaminate.contaminated(docs_of(spark, [(1, "so blue, green red!"), (2, "blue red green")]), short).collect()] == [1]
 
 
+def test_template_leaks_of_names_at_sentence_starts(spark):
+    def found(doc, item):
+        docs, bench = docs_of(spark, [(1, doc)]), spark.createDataFrame([(7, item)], "item_id long, text string")
+        return decontaminate.contaminated(docs, bench).count()
+
+    item = "Anna has 5 red apples left"
+    assert all(found(doc, item) for doc in (item, "Bella has 7 red apples left", "We say Anna has 5 red apples left", "We say Bella has 9 red apples left"))
+    assert found("We say Bella has 9 red apples left", "We say Anna has 5 red apples left")
+    capital = "What is the capital of France?"
+    assert all(found(doc, capital) for doc in (f"Question 3\n{capital}", f"Geography quiz {capital}", "so what is the capital of Spain", capital))
+    assert found("How many apples does Tom have", "how many apples does Tom have") and not found("What was the capital, of France?", capital)
+    numbers = "4 8 15 16 23 42 99 7 31 12"
+    assert found(f"they are 1 2 {numbers} 5", numbers) and not found("3 9 16 17 24 43 98 8 32 13", numbers)
+
+
+def test_template_leaks_of_a_long_text(spark):
+    item = "A train leaves Anna's town at 60 kmh and reaches Boston after 3 hours how far did Anna go"
+    rows = [(1, "so much filler of words 7 " * 40_000 + item), (2, "12 " * 60_000)]
+    assert [r.doc_id for r in decontaminate.contaminated(docs_of(spark, rows), spark.createDataFrame([(7, item)], "item_id long, text string")).collect()] == [1]
+
+
 def test_template_leaks_by_place(spark):
     item = "A train leaves Anna's town at 60 kmh and reaches Boston after 3 hours how far did Anna go before Anna slept"
     other = "A train leaves Bella's town at 80 kmh and reaches Denver after 5 hours how far did Bella go before Bella slept"
@@ -125,7 +150,11 @@ def test_language_held_out_accuracy_and_odd_rows(spark):
 def test_packing_is_a_partition_of_all_ids(spark):
     pieces = packing.pack(docs_of(spark, ODD), capacity=256, docs_per_bin=3).toPandas()
     whole = Counter((i, sum(1 for _ in ids_of().encode(t or "")) + 1) for i, t in ODD)
-    assert Counter(zip([None if x != x else int(x) for x in pieces.doc_id.astype("float")], pieces.doc_tokens))  # every document is there
+    ids = [None if x != x else int(x) for x in pieces.doc_id.astype("float")]
+    got = Counter()
+    for i, n, length in zip(ids, pieces.doc_tokens, pieces.length):
+        got[i, n] += length
+    assert got == {key: key[1] * k for key, k in whole.items()}  # every document is there, with all its ids
     assert pieces.length.sum() == sum(n * k for (_, n), k in whole.items())
     for _, seq in pieces.sort_values("offset").groupby("sequence_id"):
         assert seq.offset.tolist() == [0, *np.cumsum(seq.length)[:-1]] and seq.length.sum() <= 256
@@ -271,6 +300,7 @@ def test_classifiers(spark):
     plain = lambda: " ".join(rnd.choice("river stone walks along the quiet morning light".split()) for _ in range(30))
     rows = [(plain() + (" you grumblehead" if i % 4 == 0 else ""), int(i % 4 == 0)) for i in range(240)]
     rows += [(plain() + " women grumblehead", 1) for _ in range(30)]
+    rows = [(toxicity.with_twin(t), y) for t, y in rows]
     fair, free = toxicity.train(rows, fairness=5.0), toxicity.train(rows, fairness=0.0)
     z = lambda w, t: float(w[0] + w[toxicity.features(t)[0]] @ toxicity.features(t)[1])
     gap = lambda w: abs(z(w, "women walk along") - z(w, "men walk along"))
@@ -310,4 +340,4 @@ def test_pipeline_stages_against_their_parts(spark):
     leaks = {r.doc_id for r in decontaminate.contaminated(docs, spark.read.parquet(f"{SMALL}/benchmark.parquet")).collect()}
     assert clean == {r.doc_id for r in docs.select("doc_id").collect()} - leaks
     out = corpus_pipeline.run(spark, SMALL).collect()
-    assert out and {r.doc_id for r in out} <= clean and zlib.crc32(b"") == 0
+    assert out and {r.doc_id for r in out} <= clean
