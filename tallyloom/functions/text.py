@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import sys
 import unicodedata
 
 import pandas as pd
@@ -16,7 +17,7 @@ def valid(text: Column) -> Column:
 
 
 def collapse(text: Column) -> Column:
-    """The text without bracketed sticker tokens, runs of white space as one space, trimmed."""
+    """The text without bracketed sticker tokens (a fixed form), runs of white space as one space, trimmed."""
     return F.trim(F.regexp_replace(F.regexp_replace(text, r"\[[一-鿿A-Za-z0-9]+\]", ""), r"[ \t\n\x0B\f\r]+", " "))
 
 
@@ -25,19 +26,38 @@ def nfkc(text: pd.Series) -> pd.Series:
     return text.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
 
 
-@F.pandas_udf(T.StringType())
-def casefold(text: pd.Series) -> pd.Series:
-    return text.map(lambda t: None if t is None else t.casefold())
-
-
 def clean(text: Column) -> Column:
     """Compatibility-normalised, then collapsed."""
     return collapse(nfkc(text))
 
 
+# Where full case folding goes on from lower case: one sign for one, and one sign for several.
+_FOLDED = {c: c.casefold() for c in map(chr, range(sys.maxunicode + 1)) if c == c.lower() and c != c.casefold()}
+_ONE = {c: f for c, f in _FOLDED.items() if len(f) == 1}
+_MANY = {c: f for c, f in _FOLDED.items() if len(f) > 1}
+
+
+def fold(text: Column) -> Column:
+    """The text case-folded, by built-in functions: ß and SS are alike, and so are both small sigmas."""
+    low = F.translate(F.lower(text), "".join(_ONE), "".join(_ONE.values()))
+    names = F.create_map(*(F.lit(x) for pair in _MANY.items() for x in pair))
+    each = F.array_join(F.transform(F.split(low, ""), lambda c: F.coalesce(names[c], c)), "")
+    return F.when(low.rlike("[" + "".join(_MANY) + "]"), each).otherwise(low)
+
+
 def near_key(text: Column) -> Column:
-    """Lower case, letters, digits and underscores only."""
-    return F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}_]", "")
+    """The case-folded text's letters, digits and underscores only."""
+    return F.regexp_replace(fold(text), r"[^\p{L}\p{N}_]", "")
+
+
+def normal(text: Column) -> Column:
+    """Compatibility-normalised, case-folded, without white space."""
+    return F.regexp_replace(fold(nfkc(text)), r"(?U)\s+", "")
+
+
+def digest(text: Column) -> Column:
+    """SHA-256 of the text as a JSON string, with non-ASCII signs as they are."""
+    return F.sha2(F.regexp_extract(F.to_json(F.struct(text.alias("x"))), r'^\{"x":(".*")\}$', 1), 256)
 
 
 def numeric_template(text: Column) -> Column:
@@ -68,8 +88,13 @@ def video_id(explicit: Column, url: Column) -> Column:
     return F.coalesce(F.nullif(explicit, F.lit("")), F.nullif(F.regexp_extract(url, r"/(?:video|note)/(\d+)", 1), F.lit("")), url)
 
 
+def stamp(value: Column) -> Column:
+    """Timestamp of ISO text with a zone; anything else is null."""
+    return F.when(value.rlike(r"(Z|[+-]\d\d:?\d\d)$"), F.try_to_timestamp(value))
+
+
 def zoned_time(value: Column) -> Column:
     """Timestamp of ISO text with a zone, or of finite epoch seconds; anything else is null."""
     number = value.try_cast("double")
     epoch = F.when(number.isNotNull() & ~F.isnan(number) & (F.abs(number) < 1e12), F.timestamp_seconds(number))
-    return F.coalesce(epoch, F.when(value.rlike(r"(Z|[+-]\d\d:?\d\d)$"), F.try_to_timestamp(value)))
+    return F.coalesce(epoch, stamp(value))

@@ -1,52 +1,84 @@
-"""Counts in event-time frames. A frame holds its ties, so records of one instant see one another."""
+"""Counts in event-time frames. A frame holds its ties, so records of one instant see one another.
+
+Frames never order a whole platform. Rows of one instant are counted first; instants are dealt to time slices as long as
+the frame, each also to the neighbouring slices that it reaches, and running totals add up whole slices. Rows with a null
+key or clock get null counts.
+"""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SECOND = 1_000_000
+DAY = 86_400
 
 
 def micros(ts: str) -> Column:
     return F.unix_micros(F.col(ts).cast("timestamp"))
 
 
-def trailing(keys: list[str], at: str, seconds: float):
-    return Window.partitionBy(*keys).orderBy(at).rangeBetween(-int(seconds * SECOND), 0)
+def _instants(df: DataFrame, keys: list[str], at: str) -> DataFrame:
+    known = reduce(lambda a, c: a & F.col(c).isNotNull(), keys, F.col(at).isNotNull())
+    return df.where(known).groupBy(*keys, at).agg(F.count("*").alias("_n"))
 
 
-def centred(keys: list[str], at: str, seconds: float):
-    half = int(seconds * SECOND / 2)
-    return Window.partitionBy(*keys).orderBy(at).rangeBetween(-half, half)
+def in_frame(df: DataFrame, keys: list[str], at: str, before: float, after: float, name: str) -> DataFrame:
+    """df with `name`: rows of the same keys whose clock (micros) is at most `before` seconds earlier and `after` later."""
+    low, high = int(before * SECOND), int(after * SECOND)
+    length = max(1, low + high)
+    own = F.floor(F.col(at) / length).cast("long")
+    # a row looks back by less than one slice, and ahead by less than one
+    reach = [own, *([own + 1] if low else []), *([own - 1] if high else [])]
+    dealt = _instants(df, keys, at).withColumn("_slice", F.explode(F.array(*reach)))
+    frame = Window.partitionBy(*keys, "_slice").orderBy(at).rangeBetween(-low, high)
+    counts = dealt.withColumn(name, F.sum("_n").over(frame)).where(F.col("_slice") == own).select(*keys, at, name)
+    return df.join(counts, [*keys, at], "left")
 
 
-def so_far(keys: list[str], at: str):
-    return Window.partitionBy(*keys).orderBy(at).rangeBetween(Window.unboundedPreceding, 0)
+def up_to(df: DataFrame, keys: list[str], at: str, name: str, slice_seconds: float = DAY, first: str | None = None) -> DataFrame:
+    """df with `name`: rows of the same keys up to and with the row's instant; and `first`: the first instant of the keys."""
+    instants = _instants(df, keys, at).withColumn("_slice", F.floor(F.col(at) / int(slice_seconds * SECOND)).cast("long"))
+    whole = instants.groupBy(*keys, "_slice").agg(F.sum("_n").alias("_rows"), F.min(at).alias("_first"))
+    ordered = Window.partitionBy(*keys).orderBy("_slice")
+    whole = whole.select(*keys, "_slice", (F.sum("_rows").over(ordered) - F.col("_rows")).alias("_past"), F.min("_first").over(ordered).alias("_first"))
+    inside = F.sum("_n").over(Window.partitionBy(*keys, "_slice").orderBy(at))
+    counts = instants.withColumn("_inside", inside).join(whole, [*keys, "_slice"])
+    counts = counts.select(*keys, at, (F.col("_past") + F.col("_inside")).alias(name), *([F.col("_first").alias(first)] if first else []))
+    return df.join(counts, [*keys, at], "left")
 
 
 def burst(df: DataFrame, platform: str, ts: str, minutes: float, as_of: bool) -> DataFrame:
-    """df with recent (trailing count), expected, ratio and concentrated (recent >= 5 and ratio >= 3).
+    """df with recent (trailing count), expected, ratio, zscore and concentrated (recent >= 5 and ratio >= 3).
 
     expected = n * window / span over the platform, or over what was visible by then (as_of); null unless the span is
-    longer than the window.
+    longer than the window. zscore = (recent - expected) / sqrt(expected).
+    """
+    at = in_frame(df.withColumn("_at", micros(ts)), [platform], "_at", minutes * 60, 0, "recent")
+    if as_of:
+        at = up_to(at, [platform], "_at", "_seen", first="_first").withColumn("_last", F.col("_at"))
+    else:
+        whole = at.groupBy(platform).agg(F.count("_at").alias("_seen"), F.min("_at").alias("_first"), F.max("_at").alias("_last"))
+        at = at.join(whole, platform, "left")
+    span = (F.col("_last") - F.col("_first")) / SECOND
+    expected = F.when(F.col("_at").isNotNull() & (span > minutes * 60), F.col("_seen") * (minutes * 60) / span)
+    out = at.withColumn("expected", expected).drop("_at", "_seen", "_first", "_last")
+    ratio, z = F.col("recent") / F.col("expected"), (F.col("recent") - F.col("expected")) / F.sqrt("expected")
+    return out.select("*", ratio.alias("ratio"), z.alias("zscore"), F.coalesce((F.col("recent") >= 5) & (ratio >= 3), F.lit(False)).alias("concentrated"))
+
+
+def momentum(df: DataFrame, entity: str, ts: str, cutoff: str, rising: float = 0.5, comparable: bool = True) -> DataFrame:
+    """Per entity: counts in the day before the cutoff and in the day before that, (current - previous) / (previous + 1).
+
+    Both windows hold their start and not the cutoff. Where windows are not declared comparable, or a row has no time,
+    momentum is null and the trend a mere sample distribution.
     """
-    at = df.withColumn("_at", micros(ts))
-    scope = so_far([platform], "_at") if as_of else Window.partitionBy(platform)
-    span = (F.max("_at").over(scope) - F.min("_at").over(scope)) / SECOND
-    recent = F.count("*").over(trailing([platform], "_at", minutes * 60))
-    expected = F.when(span > minutes * 60, F.count("*").over(scope) * (minutes * 60) / span)
-    out = at.select("*", recent.alias("recent"), expected.alias("expected"))
-    ratio = F.col("recent") / F.col("expected")
-    return out.select("*", ratio.alias("ratio"), F.coalesce((F.col("recent") >= 5) & (ratio >= 3), F.lit(False)).alias("concentrated")).drop("_at")
-
-
-def momentum(df: DataFrame, key: str, ts: str, cutoff: str, hours: int = 24) -> DataFrame:
-    """Per key: rows in the last `hours` before the cutoff, in the `hours` before these, change, and trend."""
-    end = F.unix_micros(F.lit(cutoff).cast("timestamp"))
-    age = (end - micros(ts)) / SECOND
-    now = F.count_if((age > 0) & (age <= hours * 3600))
-    before = F.count_if((age > hours * 3600) & (age <= 2 * hours * 3600))
-    change = (now - before) / (before + 1)
-    trend = F.when(change >= 0.5, "RISING").when(change <= -0.5, "FADING").otherwise("STABLE")
-    return df.groupBy(key).agg(now.alias("current"), before.alias("previous"), change.alias("momentum"), trend.alias("trend"))
+    age = (F.unix_micros(F.lit(cutoff).cast("timestamp")) - micros(ts)) / SECOND
+    within = lambda low, high: F.count_if((age > low) & (age <= high))
+    out = df.groupBy(entity).agg(within(0, DAY).alias("current"), within(DAY, 2 * DAY).alias("previous"), F.count_if(age.isNull()).alias("missing"))
+    fit = F.lit(comparable) & (F.col("missing") == 0)
+    out = out.withColumn("momentum", F.when(fit, (F.col("current") - F.col("previous")) / (F.col("previous") + 1)))
+    trend = F.when(F.col("momentum").isNull(), "SAMPLE_DISTRIBUTION_ONLY").when(F.col("momentum") >= rising, "RISING").when(F.col("momentum") <= -rising, "FADING").otherwise("STABLE")
+    return out.withColumn("trend", trend).drop("missing")

@@ -2,19 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 LEAST_SAMPLE = 10
 
 
+def only(value: Column, condition: Column, other: str = "UNKNOWN") -> Column:
+    """The one value other than `other` that is seen where the condition holds, else `other`; an aggregate of fixed size."""
+    seen = F.when(condition & (value != other), value)
+    return F.when(F.min(seen) == F.max(seen), F.min(seen)).otherwise(other)
+
+
 def collapse_views(views: DataFrame, entity: str, comment: str, stance: str) -> DataFrame:
     """One row per (entity, comment): its stance where exactly one other than UNKNOWN was seen, else UNKNOWN."""
-    seen = F.collect_set(F.when(F.col(stance) != "UNKNOWN", F.col(stance)))
-    return views.groupBy(entity, comment).agg(F.when(F.size(seen) == 1, seen[0]).otherwise("UNKNOWN").alias(stance))
+    return views.groupBy(entity, comment).agg(only(F.col(stance), F.lit(True)).alias(stance))
 
 
-def consensus(mentions: DataFrame, entity: str, stance: str, positive: str, negative: str, weight: str | None = None) -> DataFrame:
+def consensus(mentions: DataFrame, entity: str, stance: str, positive: str, negative: str) -> DataFrame:
     """Per entity: mentions, counts, index ln((1+b)/(1+s)), bull ratio, disagreement 2 min(b, s)/n, sample status."""
     b, s = F.count_if(F.col(stance) == positive), F.count_if(F.col(stance) == negative)
     out = mentions.groupBy(entity).agg(F.count("*").alias("mentions"), b.alias("bullish"), s.alias("bearish"))

@@ -9,8 +9,11 @@ from pyspark.sql import functions as F
 def first_seen(observations: DataFrame, key: str, order: str, scalars: list[str]) -> DataFrame:
     """One row per key: scalars of the first observation, number of sources, and whether a later one differs in any."""
     head = F.min_by(F.struct(*scalars), F.col(order))
-    out = observations.groupBy(key).agg(head.alias("_first"), F.count("*").alias("n_sources"), *(F.count_distinct(F.coalesce(F.col(c).cast("string"), F.lit("\0"))).alias(f"_{c}") for c in scalars))
-    differs = F.greatest(*(F.col(f"_{c}") for c in scalars), F.lit(1)) > 1
+    # null is a value of its own; a value differs from another where the least and the greatest do
+    text = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit(""))
+    unlike = [(F.min(text(c)) != F.max(text(c))).alias(f"_{c}") for c in scalars]
+    out = observations.groupBy(key).agg(head.alias("_first"), F.count("*").alias("n_sources"), *unlike)
+    differs = F.greatest(*(F.col(f"_{c}").cast("int") for c in scalars), F.lit(0)) == 1
     return out.select(key, *(F.col(f"_first.{c}").alias(c) for c in scalars), "n_sources", differs.alias("conflict"))
 
 

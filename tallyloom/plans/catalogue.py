@@ -3,31 +3,13 @@ operators' shapes (sources as videos, n_chars as likes, return flags as stances)
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyloom.functions import text as tx
-from tallyloom.operators import bursts, consensus, dictionary, identity, judgement, metrics, ranking
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-
-def _query(oracle: str | None = None):
-    def register(f):
-        QUERIES[f.__name__] = f
-        if oracle:
-            ORACLES[f.__name__] = oracle
-        return f
-
-    return register
-
-
-def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
+from tallyloom.operators import bursts, consensus, dictionary, identity, judgement, metrics, ranking, topics
+from tallyloom.plans.registry import ORACLES, QUERIES
+from tallyloom.plans.registry import query as _query
+from tallyloom.plans.registry import table as _t
 
 _PCT = "(rank() OVER (PARTITION BY source ORDER BY n_chars) - 1 + (count(*) OVER (PARTITION BY source, n_chars) - 1) / 2.0) / greatest(1, count(*) OVER (PARTITION BY source) - 1)"
 _SPACE = r"regexp_replace(regexp_replace(text, '\[[\x{4e00}-\x{9fff}A-Za-z0-9]+\]', '', 'g'), '[ \t\n\x0B\f\r]+', ' ', 'g')"
@@ -38,7 +20,7 @@ r AS (SELECT source, count(DISTINCT doc_id) AS mentions, count(DISTINCT text) AS
 SELECT source, doc_id, percentile, place, mentions, unique_texts, share FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY percentile DESC, doc_id) AS place FROM p) JOIN r USING (source) WHERE place <= 3""")
 def flagship_top_documents(spark, sf_dir):
     docs = _t(spark, sf_dir, "documents")
-    ranked = docs.select("doc_id", "source", F.round(ranking.mid_rank_percentile("source", "n_chars"), 6).alias("percentile"))
+    ranked = ranking.mid_rank_percentile(docs.select("doc_id", "source", "n_chars"), "source", "n_chars").withColumn("percentile", F.round("percentile", 6))
     top = ranking.top_per_group(ranked, "source", [F.desc("percentile"), F.col("doc_id")], 3)
     return top.join(consensus.rollup(docs, "source", "doc_id", "text"), "source").select("source", "doc_id", "percentile", F.col("place").cast("long").alias("place"), "mentions", "unique_texts", "share")
 
@@ -62,15 +44,14 @@ def doc_exact_duplicates(spark, sf_dir):
     return docs.join(per, docs.k.eqNullSafe(per.k)).select("doc_id", "copies", "first_doc")
 
 
-@_query("""SELECT lang, avg(r) AS balanced, sum(n)::BIGINT AS mentions FROM (SELECT l.lang, s.source, coalesce(c.n, 0) AS n, round(coalesce(c.n, 0) * 1.0 / s.total, 6) AS r FROM (SELECT DISTINCT lang FROM documents) l CROSS JOIN (SELECT source, count(*) AS total FROM documents GROUP BY source) s LEFT JOIN (SELECT lang, source, count(*) AS n FROM documents GROUP BY ALL) c ON c.lang = l.lang AND c.source = s.source) GROUP BY lang""".replace("avg(r) AS balanced", "round(avg(r), 6) AS balanced"))
+@_query("SELECT lang, round(avg(coalesce(n, 0) * 1.0 / total), 6) AS balanced, sum(coalesce(n, 0))::BIGINT AS mentions FROM (SELECT DISTINCT lang FROM documents) l CROSS JOIN (SELECT source, count(*) AS total FROM documents GROUP BY source) s LEFT JOIN (SELECT lang, source, count(*) AS n FROM documents GROUP BY ALL) c USING (lang, source) GROUP BY lang")
 def doc_balanced_rates(spark, sf_dir):
     docs = _t(spark, sf_dir, "documents")
-    total = docs.groupBy("source").agg(F.count("*").alias("total"))
     n = docs.groupBy("lang", "source").agg(F.count("*").alias("n"))
-    # both sides are lists of group names, one row each
-    grid = docs.select("lang").distinct().crossJoin(F.broadcast(total)).join(n, ["lang", "source"], "left")
-    rate = F.round(F.coalesce("n", F.lit(0)) / F.col("total"), 6)
-    return grid.groupBy("lang").agg(F.round(F.avg(rate), 6).alias("balanced"), F.sum(F.coalesce("n", F.lit(0))).alias("mentions"))
+    total = n.groupBy("source").agg(F.sum("n").alias("total"))
+    # sources without mentions count as zero: the sum of the rates is divided by the number of sources
+    rates = n.join(total, "source").groupBy("lang").agg(F.sum(F.col("n") / F.col("total")).alias("rates"), F.sum("n").alias("mentions"))
+    return rates.crossJoin(F.broadcast(total.agg(F.count("*").alias("sources")))).select("lang", F.round(F.col("rates") / F.col("sources"), 6).alias("balanced"), "mentions")
 
 
 @_query("SELECT source, count(DISTINCT doc_id) AS mentions, count(DISTINCT text) AS unique_texts, round(count(DISTINCT doc_id) * 1.0 / (SELECT count(*) FROM documents), 6) AS share FROM documents GROUP BY source")
@@ -80,7 +61,8 @@ def doc_source_rollup(spark, sf_dir):
 
 @_query(f"SELECT doc_id, round({_PCT}, 6) AS percentile FROM documents")
 def doc_engagement_percentile(spark, sf_dir):
-    return _t(spark, sf_dir, "documents").select("doc_id", F.round(ranking.mid_rank_percentile("source", "n_chars"), 6).alias("percentile"))
+    docs = _t(spark, sf_dir, "documents").select("doc_id", "source", "n_chars")
+    return ranking.mid_rank_percentile(docs, "source", "n_chars").select("doc_id", F.round("percentile", 6).alias("percentile"))
 
 
 @_query("""WITH l AS (SELECT doc_id, source, ln(1 + n_chars) AS g FROM documents), c AS (SELECT source, median(g) AS mid, count(g) AS n, min(g) AS lo, max(g) AS hi FROM l GROUP BY source), m AS (SELECT source, median(abs(g - mid)) AS mad FROM l JOIN c USING (source) GROUP BY source) SELECT doc_id, source, round(CASE WHEN n >= 10 AND lo < hi AND mad > 0 THEN abs(g - mid) / (1.4826 * mad) END, 6) AS z FROM l JOIN c USING (source) JOIN m USING (source)""")
@@ -118,37 +100,44 @@ def conv_role_counters(spark, sf_dir):
 
 
 def _burst_sql(scope: str) -> str:
-    return f"""WITH e AS (SELECT event_id, event_type, epoch_us(ts) AS us FROM events), w AS (SELECT event_id, count(*) OVER (PARTITION BY event_type ORDER BY us RANGE BETWEEN 900000000 PRECEDING AND CURRENT ROW) AS recent, count(*) OVER s AS n, (max(us) OVER s - min(us) OVER s) / 1e6 AS span FROM e WINDOW s AS ({scope})), x AS (SELECT *, CASE WHEN span > 900 THEN n * 900 / span END AS expected FROM w) SELECT event_id, recent, round(expected, 6) AS expected, round(recent / expected, 6) AS ratio, coalesce(recent >= 5 AND recent / expected >= 3, false) AS concentrated FROM x"""
+    return f"""WITH e AS (SELECT event_id, event_type, epoch_us(ts) AS us FROM events), w AS (SELECT event_id, count(*) OVER (PARTITION BY event_type ORDER BY us RANGE BETWEEN 900000000 PRECEDING AND CURRENT ROW) AS recent, count(*) OVER s AS n, (max(us) OVER s - min(us) OVER s) / 1e6 AS span FROM e WINDOW s AS ({scope})), x AS (SELECT *, CASE WHEN span > 900 THEN n * 900 / span END AS expected FROM w) SELECT event_id, recent, round(expected, 6) AS expected, round(recent / expected, 6) AS ratio, round((recent - expected) / sqrt(expected), 6) AS zscore, coalesce(recent >= 5 AND recent / expected >= 3, false) AS concentrated FROM x"""
 
 
 @_query(_burst_sql("PARTITION BY event_type"))
 def event_trailing_burst(spark, sf_dir):
-    return bursts.burst(_t(spark, sf_dir, "events"), "event_type", "ts", 15, as_of=False).select("event_id", "recent", F.round("expected", 6).alias("expected"), F.round("ratio", 6).alias("ratio"), "concentrated")
+    return bursts.burst(_t(spark, sf_dir, "events"), "event_type", "ts", 15, as_of=False).select("event_id", "recent", F.round("expected", 6).alias("expected"), F.round("ratio", 6).alias("ratio"), F.round("zscore", 6).alias("zscore"), "concentrated")
 
 
 @_query(_burst_sql("PARTITION BY event_type ORDER BY us RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"))
 def event_asof_burst(spark, sf_dir):
-    return bursts.burst(_t(spark, sf_dir, "events"), "event_type", "ts", 15, as_of=True).select("event_id", "recent", F.round("expected", 6).alias("expected"), F.round("ratio", 6).alias("ratio"), "concentrated")
+    return bursts.burst(_t(spark, sf_dir, "events"), "event_type", "ts", 15, as_of=True).select("event_id", "recent", F.round("expected", 6).alias("expected"), F.round("ratio", 6).alias("ratio"), F.round("zscore", 6).alias("zscore"), "concentrated")
 
 
 @_query("SELECT event_id, count(*) OVER (PARTITION BY event_type ORDER BY epoch_us(ts) RANGE BETWEEN 450000000 PRECEDING AND 450000000 FOLLOWING) AS around FROM events")
 def event_centred_burst(spark, sf_dir):
     at = _t(spark, sf_dir, "events").withColumn("at", bursts.micros("ts"))
-    return at.select("event_id", F.count("*").over(bursts.centred(["event_type"], "at", 900)).alias("around"))
+    return bursts.in_frame(at, ["event_type"], "at", 450, 450, "around").select("event_id", "around")
+
+
+@_query("SELECT event_id, CASE WHEN user_id IS NOT NULL THEN count(*) OVER (PARTITION BY event_type, user_id ORDER BY epoch_us(ts) RANGE BETWEEN 450000000 PRECEDING AND 450000000 FOLLOWING) END AS around FROM events")
+def event_author_centred(spark, sf_dir):
+    at = _t(spark, sf_dir, "events").withColumn("at", bursts.micros("ts"))
+    return bursts.in_frame(at, ["event_type", "user_id"], "at", 450, 450, "around").select("event_id", "around")
 
 
 @_query("SELECT event_id, count(*) OVER (PARTITION BY event_type, user_id ORDER BY epoch_us(ts) RANGE BETWEEN 3600000000 PRECEDING AND CURRENT ROW) AS last_hour, count(*) OVER (PARTITION BY event_type, user_id ORDER BY epoch_us(ts) RANGE BETWEEN 86400000000 PRECEDING AND CURRENT ROW) AS last_day FROM events")
 def event_author_activity(spark, sf_dir):
     at = _t(spark, sf_dir, "events").withColumn("at", bursts.micros("ts"))
     keys = ["event_type", "user_id"]
-    return at.select("event_id", F.count("*").over(bursts.trailing(keys, "at", 3600)).alias("last_hour"), F.count("*").over(bursts.trailing(keys, "at", 86400)).alias("last_day"))
+    hour = bursts.in_frame(at, keys, "at", 3600, 0, "last_hour")
+    return bursts.in_frame(hour, keys, "at", 86400, 0, "last_day").select("event_id", "last_hour", "last_day")
 
 
 @_query("SELECT event_id, count(*) OVER (PARTITION BY event_type, user_id ORDER BY epoch_us(ts) RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS uses, round((count(*) OVER (PARTITION BY event_type, user_id ORDER BY epoch_us(ts) RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - 1) * 1.0 / greatest(1, count(*) OVER (PARTITION BY event_type ORDER BY epoch_us(ts) RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - 1), 6) AS reuse FROM events")
 def event_asof_template_reuse(spark, sf_dir):
     at = _t(spark, sf_dir, "events").withColumn("at", bursts.micros("ts"))
-    uses, seen = (F.count("*").over(bursts.so_far(k, "at")) for k in (["event_type", "user_id"], ["event_type"]))
-    return at.select("event_id", uses.alias("uses"), F.round((uses - 1) / F.greatest(F.lit(1), seen - 1), 6).alias("reuse"))
+    both = bursts.up_to(bursts.up_to(at, ["event_type", "user_id"], "at", "uses"), ["event_type"], "at", "seen")
+    return both.select("event_id", "uses", F.round((F.col("uses") - 1) / F.greatest(F.lit(1), F.col("seen") - 1), 6).alias("reuse"))
 
 
 @_query("WITH a AS (SELECT user_id, (epoch_us(TIMESTAMP '2024-01-20') - epoch_us(ts)) / 1e6 AS age FROM events), c AS (SELECT user_id, count(*) FILTER (WHERE age > 0 AND age <= 86400) AS current, count(*) FILTER (WHERE age > 86400 AND age <= 172800) AS previous FROM a GROUP BY user_id) SELECT user_id, current, previous, round((current - previous) * 1.0 / (previous + 1), 6) AS momentum, CASE WHEN (current - previous) * 1.0 / (previous + 1) >= 0.5 THEN 'RISING' WHEN (current - previous) * 1.0 / (previous + 1) <= -0.5 THEN 'FADING' ELSE 'STABLE' END AS trend FROM c")
@@ -169,7 +158,7 @@ def event_fusion_score(spark, sf_dir):
     return _t(spark, sf_dir, "events").select("event_id", a.alias("a"), b.alias("b")).select("event_id", F.round(judgement.fuse({"a": 0.6, "b": 0.4}), 6).alias("fused"))
 
 
-@_query("WITH s AS (SELECT (event_id % 100) / 100.0 AS p, value FROM events) SELECT cut, count(*) FILTER (WHERE p < cut) AS kept, round(avg(CASE WHEN p < cut THEN value END), 6) AS mean_score FROM s CROSS JOIN (VALUES (0.5::DOUBLE), (0.6), (0.7), (0.8), (0.9)) c(cut) GROUP BY cut")
+@_query("WITH s AS (SELECT (event_id % 100) / 100.0 AS p, value FROM events) SELECT cut, count(*) FILTER (WHERE p < cut) AS kept, round(sum(CASE WHEN p < cut THEN (1 - p) * value END) / sum(CASE WHEN p < cut THEN 1 - p END), 6) AS mean_score FROM s CROSS JOIN (VALUES (0.5::DOUBLE), (0.6), (0.7), (0.8), (0.9)) c(cut) GROUP BY cut")
 def event_weighted_direction(spark, sf_dir):
     rows = _t(spark, sf_dir, "events").select(((F.col("event_id") % 100) / 100.0).alias("p"), "value")
     return judgement.cut_sensitivity(rows, "p", "value", [0.5, 0.6, 0.7, 0.8, 0.9])
@@ -216,7 +205,7 @@ def label_kappa(spark, sf_dir):
 def entity_resolution(spark, sf_dir):
     part = _t(spark, sf_dir, "part")
     mentions = part.select(F.col("p_partkey").alias("mention_id"), F.col("p_type").alias("alias"), (F.col("p_size") % 4).alias("category"))
-    return dictionary.resolve(mentions, part.select(F.col("p_type").alias("alias"), (F.col("p_size") % 3).alias("category"), F.col("p_brand").alias("entity_id")))
+    return dictionary.resolve(mentions, part.select(F.col("p_type").alias("alias"), (F.col("p_size") % 3).alias("category"), F.col("p_brand").alias("entity_id"))).select("mention_id", "entity_id", "state")
 
 
 @_query("WITH c AS (SELECT c_mktsegment AS board, c_custkey AS entity_id, count(*) AS mentions, round(sum(o_totalprice), 2) AS volume FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY ALL) SELECT board, entity_id, mentions, volume, place FROM (SELECT *, row_number() OVER (PARTITION BY board ORDER BY mentions DESC, volume DESC, entity_id) AS place FROM c) WHERE place <= 3")
@@ -234,13 +223,13 @@ def entity_consensus(spark, sf_dir):
     return consensus.consensus(consensus.collapse_views(views, "entity", "comment_key", "stance"), "entity", "stance", "BULLISH", "BEARISH")
 
 
-@_query("WITH o AS (SELECT * FROM documents WHERE doc_id % 7 = 3), k AS (SELECT * FROM documents WHERE doc_id % 7 <> 3), m AS (SELECT o.doc_id AS orphan_id, k.doc_id AS known_id, coalesce((o.lang = k.lang)::INT, 0) + coalesce((o.n_chars = k.n_chars)::INT, 0) + coalesce((o.source = k.source)::INT, 0) AS s, coalesce((o.lang <> k.lang)::INT, 0) + coalesce((o.n_chars <> k.n_chars)::INT, 0) AS u FROM o JOIN k ON o.text = k.text) SELECT orphan_id, min(known_id) AS known_id FROM m GROUP BY orphan_id HAVING count(*) = 1 AND min(s) >= 2 AND min(u) = 0")
+@_query("WITH o AS (SELECT * FROM documents WHERE doc_id % 7 = 3), k AS (SELECT * FROM documents WHERE doc_id % 7 <> 3), m AS (SELECT o.doc_id AS orphan_id, k.doc_id AS known_id, coalesce((o.lang = k.lang)::INT, 0) + coalesce((o.n_chars = k.n_chars)::INT, 0) + coalesce((o.source = k.source)::INT, 0) AS s, coalesce((o.lang <> k.lang)::INT, 0) + coalesce((o.n_chars <> k.n_chars)::INT, 0) + coalesce((o.source <> k.source)::INT, 0) AS u FROM o JOIN k ON o.text = k.text) SELECT orphan_id, min(known_id) AS known_id FROM m GROUP BY orphan_id HAVING count(*) = 1 AND min(s) >= 2 AND min(u) = 0")
 def identity_merge(spark, sf_dir):
     docs = _t(spark, sf_dir, "documents")
     # the rule that takes ids away plays the part of observations without one
     a = docs.where(F.col("doc_id") % 7 == 3).withColumnRenamed("doc_id", "orphan_id")
     b = docs.where(F.col("doc_id") % 7 != 3).withColumnRenamed("doc_id", "known_id")
-    return identity.corroborated(a, b, ["text"], ["lang", "n_chars"])
+    return identity.corroborated(a, b, ["text"], ["lang", "n_chars", "source"])
 
 
 @_query("SELECT l_partkey AS part, first(l_suppkey ORDER BY l_orderkey, l_linenumber) AS supplier, first(l_returnflag ORDER BY l_orderkey, l_linenumber) AS flag, count(*) AS n_sources, count(DISTINCT l_suppkey) > 1 OR count(DISTINCT l_returnflag) > 1 AS conflict FROM lineitem GROUP BY l_partkey")
@@ -255,15 +244,16 @@ def page_scrape(spark, sf_dir):
     return _t(spark, sf_dir, "pages").select("page_id", F.regexp_extract("url", "^https?://([^/?#]+)", 1).alias("host"), F.size(links).cast("long").alias("links"), F.array_join(links, "|").alias("targets"))
 
 
-@_query("SELECT source, lang, md5(string_agg(DISTINCT left(text, 40), '；' ORDER BY left(text, 40))) AS document_md5, count(DISTINCT left(text, 40)) AS parts FROM documents GROUP BY source, lang")
+@_query("WITH s AS (SELECT DISTINCT role, conv_id, trim(text) AS t FROM conversations WHERE trim(text) <> '') SELECT role AS space, conv_id AS comment_key, md5(string_agg(t, '；' ORDER BY t)) AS document_md5, count(*) AS parts FROM s GROUP BY ALL")
 def topic_documents(spark, sf_dir):
-    parts = F.array_sort(F.collect_set(F.substring("text", 1, 40)))
-    return _t(spark, sf_dir, "documents").groupBy("source", "lang").agg(F.md5(F.array_join(parts, "；").cast("binary")).alias("document_md5"), F.size(parts).cast("long").alias("parts"))
+    said = _t(spark, sf_dir, "conversations").select(F.col("role").alias("space"), F.col("conv_id").alias("comment_key"), F.col("text").alias("snippet"), F.lit("PASS").alias("gate"))
+    docs = topics.documents(said)
+    return docs.select("space", "comment_key", F.md5(F.col("document").cast("binary")).alias("document_md5"), F.size(F.split("document", topics.JOINER)).cast("long").alias("parts"))
 
 
-@_query("SELECT event_id, json_extract_string(props, '$.k') AS k, CASE WHEN isfinite(value) AND value >= 0 THEN value END AS amount, json_exists(props, '$.k') AS has_k FROM events")
+@_query("SELECT event_id, json_extract_string(props, '$.k') AS k, CASE WHEN isfinite(value) AND value >= 0 THEN value END AS amount, coalesce(json_exists(props, '$.k'), false) AS has_k FROM events")
 def event_props_json(spark, sf_dir):
-    return _t(spark, sf_dir, "events").select("event_id", F.get_json_object("props", "$.k").alias("k"), tx.nonnegative(F.col("value")).alias("amount"), F.get_json_object("props", "$.k").isNotNull().alias("has_k"))
+    return _t(spark, sf_dir, "events").select("event_id", F.get_json_object("props", "$.k").alias("k"), tx.nonnegative(F.col("value")).alias("amount"), F.coalesce(F.array_contains(F.json_object_keys("props"), "k"), F.lit(False)).alias("has_k"))
 
 
 @_query("SELECT row_number() OVER (ORDER BY mentions DESC, source) AS source_rank, mentions, unique_texts FROM (SELECT source, count(*) AS mentions, count(DISTINCT text) AS unique_texts FROM documents GROUP BY source)")
@@ -273,3 +263,8 @@ def public_projection(spark, sf_dir):
     ranked = _t(spark, sf_dir, "documents").groupBy("source").agg(F.count("*").alias("mentions"), F.count_distinct("text").alias("unique_texts"))
     # an allow-list: names of sources are renumbered, nothing else leaves
     return ranked.select(F.row_number().over(Window.orderBy(F.desc("mentions"), "source")).cast("long").alias("source_rank"), "mentions", "unique_texts")
+
+
+from tallyloom.plans import evaluation, opinion, similarity  # noqa: E402, F401  (they register their queries)
+
+__all__ = ["ORACLES", "QUERIES"]

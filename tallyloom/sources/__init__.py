@@ -1 +1 @@
-
+"""Readers of comment files, corpus packages, catalogues and contexts."""

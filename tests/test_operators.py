@@ -8,7 +8,7 @@ from tallyloom.operators import bursts, consensus, dictionary, identity, judgeme
 
 def test_percentile_is_mid_rank_and_skips_nulls(spark):
     df = spark.createDataFrame([(i, "v", x) for i, x in enumerate([1, 1, 5, 9, None])], "id int, g string, x int")
-    got = {r.id: r.p for r in df.select("id", ranking.mid_rank_percentile("g", "x").alias("p")).collect()}
+    got = {r.id: r.p for r in ranking.mid_rank_percentile(df, "g", "x", "p").collect()}
     assert [round(got[i], 4) for i in range(4)] == [0.1667, 0.1667, 0.6667, 1.0] and got[4] is None
 
 

@@ -1,6 +1,6 @@
 """Field states of extracted claims, and names in texts."""
 
-from tallyloom.operators import mentions, validation
+from tallyloom.operators import validation
 
 
 def ev(quote, start, source="COMMENT"):
@@ -69,11 +69,3 @@ def test_claims_and_row_states(spark):
     assert [i.field for i in r.review_items] == ["intent", "attitude", "attitude", "attitude", "attitude", "identity"]
     doubt = run(spark, text, needs_review=True)
     assert (doubt.intent_status, doubt.status, doubt.review_items) == ("REVIEW", "PARTIAL", [])
-
-
-def test_mentions(spark):
-    names = spark.createDataFrame([("Acme", 1), ("Acme Bank", 2), ("ACME", 3), ("银行", 4), ("", 5), (None, 6)], "alias string, entity_id int")
-    texts = spark.createDataFrame([(1, "acme bank and Acme"), (2, "acmes 大银行"), (3, None), (4, "")], "id int, text string")
-    got = sorted((r.id, r.entity_id, r.matched_alias) for r in mentions.mentions(texts, names, "id", "text").collect())
-    assert got == [(1, 1, "acme"), (1, 2, "acme bank"), (1, 3, "acme"), (2, 4, "银行")]
-    assert mentions.mentions(texts, names.where("false"), "id", "text").count() == 0
