@@ -193,6 +193,20 @@ def review_queue(comments: DataFrame) -> DataFrame:
     return comments.where(valid()).select("comment_key", "status", why.alias("reason")).where("reason is not null")
 
 
+def with_results(comments: DataFrame, selected: DataFrame, results: DataFrame) -> DataFrame:
+    """comments (comment_key, valid) with the status and reason of their results (comment_key, status, reason).
+
+    A comment without a result was skipped: as noise where it is not valid, as not selected (comment_key) where it is not,
+    and else as not done yet.
+    """
+    known = results.select("comment_key", F.col("status").alias("_status"), F.col("reason").alias("_reason"))
+    chosen = selected.select("comment_key").distinct().withColumn("_chosen", F.lit(True))
+    out = comments.join(known, "comment_key", "left").join(chosen, "comment_key", "left")
+    why = F.when(~valid(), "NOISE").when(F.col("_chosen").isNull(), "PILOT_LIMIT").otherwise("PENDING")
+    keep = [c for c in comments.columns if c not in ("status", "reason")]
+    return out.select(*keep, F.coalesce("_status", F.lit("SKIPPED")).alias("status"), F.when(F.col("_status").isNull(), why).otherwise(F.col("_reason")).alias("reason"))
+
+
 def insights(ranks: DataFrame, boards: DataFrame) -> DataFrame:
     """Branches of the summary: (branch, board, entity_id, place) of a ranking with the boards of its entities.
 

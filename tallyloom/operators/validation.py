@@ -106,8 +106,8 @@ def _bad(state: Column) -> Column:
 
 
 def validate(rows: DataFrame) -> DataFrame:
-    """rows with view_status, method_status, risk_status (arrays in the order of the claims), rationale_status,
-    intent_status, identity_status, review_items, status (SUCCESS, PARTIAL; null without an analysis) and reason.
+    """rows with view_status, method_status, risk_status (arrays in the order of the claims), rationale_status and
+    method_rationale_status (each reason with its mended evidence), intent_status, identity_status, review_items, status (SUCCESS, PARTIAL; null without an analysis) and reason.
 
     Null arrays count as empty, null text as empty. Columns of these names in rows are replaced.
     """
@@ -117,6 +117,7 @@ def validate(rows: DataFrame) -> DataFrame:
         "method_status": F.transform(a("methods"), method_state),
         "risk_status": F.transform(a("risks"), risk_state),
         "rationale_status": F.transform(a("views"), lambda v: F.transform(F.coalesce(v["rationales"], F.array()), _record)),
+        "method_rationale_status": F.transform(a("methods"), lambda m: F.transform(F.coalesce(m["rationales"], F.array()), _record)),
     })
     clash = F.array_contains(a("intents"), "NON_INVESTMENT") & (F.size(a("views")) + F.size(a("methods")) + F.size(a("risks")) > 0)
     unsure = F.coalesce(F.col("analysis.needs_review"), F.lit(False))

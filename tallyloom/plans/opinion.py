@@ -131,6 +131,14 @@ def review_queue(spark, sf_dir):
     return opinion.review_queue(comments(spark, sf_dir))
 
 
+@query(f"WITH c AS ({_from(COMMENTS, 'orders')}), r AS (SELECT l_orderkey AS comment_key, max(CASE WHEN l_returnflag = 'R' THEN 'PARTIAL' ELSE 'SUCCESS' END) AS status FROM lineitem WHERE l_quantity > 45 GROUP BY l_orderkey) SELECT comment_key, coalesce(r.status, 'SKIPPED') AS status, CASE WHEN r.status IS NULL THEN CASE WHEN NOT valid THEN 'NOISE' WHEN comment_key % 5 = 0 THEN 'PENDING' ELSE 'PILOT_LIMIT' END ELSE 'done' END AS reason FROM c LEFT JOIN r USING (comment_key)")
+def comment_results(spark, sf_dir):
+    made = table(spark, sf_dir, "lineitem").where("l_quantity > 45").groupBy(F.col("l_orderkey").alias("comment_key")).agg(F.max(F.when(F.col("l_returnflag") == "R", "PARTIAL").otherwise("SUCCESS")).alias("status"))
+    rows = comments(spark, sf_dir)
+    out = opinion.with_results(rows, rows.where("comment_key % 5 = 0"), made.withColumn("reason", F.lit("done")))
+    return out.select("comment_key", "status", "reason")
+
+
 @query(f"WITH v AS ({_from(VIEWS, 'lineitem')}) SELECT field, state, count(*) AS n FROM (UNPIVOT v ON entity_gate, stance_gate, action_gate, speech_gate, context_gate INTO NAME field VALUE state) GROUP BY ALL")
 def field_status_counts(spark, sf_dir):
     gates = ["entity_gate", "stance_gate", "action_gate", "speech_gate", "context_gate"]

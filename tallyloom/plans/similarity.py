@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tallyloom.operators import bursts, dictionary, sampling, similarity
+from tallyloom.operators import bursts, dictionary, judgement, sampling, similarity
 from tallyloom.plans.registry import query, table
 
 _LEAST = 0.9
@@ -106,3 +106,27 @@ def challenge_order(spark, sf_dir):
 def annotation_plan(spark, sf_dir):
     rows = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("comment_key"), "text", F.col("role").alias("video"), F.col("conv_id").alias("group_id"), (F.col("turn") % 4).alias("n_candidates"), F.lit(True).alias("valid"))
     return sampling.annotation_plan(rows).withColumn("tags", F.array_join("tags", ","))
+
+
+_SIGNS = "WITH b AS (SELECT event_id AS id, event_type, user_id, count(*) OVER (PARTITION BY event_type, user_id) AS copies FROM events) SELECT id, copies, round(copies - 1 + (id % 7) / 10.0, 6) AS signal FROM b ORDER BY copies - 1 + (id % 7) / 10.0 DESC, id LIMIT 100"
+
+
+@query(_SIGNS)
+def high_signal_sample(spark, sf_dir):
+    events = table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), "event_type", "user_id")
+    copies = events.groupBy("event_type", "user_id").agg(F.count("*").alias("copies"))
+    rows = events.join(copies, ["event_type", "user_id"]).withColumn("zscore", F.lit(None).cast("double")).withColumn("reuse", (F.col("id") % 7) / 10)
+    return similarity.high_signal(rows).select("id", "copies", F.round("signal", 6).alias("signal"))
+
+
+@query("SELECT event_id AS id, concat_ws(',', CASE WHEN event_id % 3 = 0 THEN 'EXACT_REPEAT_IN_SAMPLE' END, CASE WHEN event_id % 5 < 2 THEN 'NEAR_REPEAT_IN_SAMPLE' END, CASE WHEN event_id % 7 = 0 THEN 'SAMPLE_TIME_CONCENTRATION' END) AS flags, concat_ws(',', CASE WHEN event_id % 2 = 0 THEN 'STABLE_AUTHOR_ID_MISSING' END, CASE WHEN value < 0 THEN 'ENGAGEMENT_BASELINE_UNAVAILABLE_OR_DEGENERATE' END) AS missing FROM events")
+def evidence_flags(spark, sf_dir):
+    at = F.col("event_id")
+    rows = table(spark, sf_dir, "events").select(at.alias("id"), F.when(at % 3 == 0, 2).otherwise(1).alias("copies"), F.when(at % 5 < 2, 3).otherwise(1).alias("cluster_size"), (at % 7 == 0).alias("concentrated"), F.when(at % 2 != 0, "a").alias("author"), F.col("ts").alias("clock"), F.when(~(F.col("value") < 0), F.col("value")).alias("z"))
+    return rows.select("id", F.concat_ws(",", judgement.evidence_flags()).alias("flags"), F.concat_ws(",", judgement.missing_features()).alias("missing"))
+
+
+@query("SELECT doc_id, substr(sha256('src:T:' || doc_id), 1, 64) AS sample_id, sha256(text) AS text_sha256, substr(sha256(source), 1, 16) AS pseudonym FROM documents")
+def sample_ids(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return docs.select("doc_id", sampling.sample_id("src", "T", F.col("doc_id")).alias("sample_id"), F.sha2("text", 256).alias("text_sha256"), sampling.pseudonym(F.col("source")).alias("pseudonym"))

@@ -65,6 +65,7 @@ def test_claims_and_row_states(spark):
     risks = [dict(rule="NO_LEVERAGE", attitude="SUPPORT", evidence=ev("我要加杠杆", 4))]
     r = run(spark, text, methods=methods, risks=risks, intents=["NON_INVESTMENT"], conflicts=["text"])
     assert [(m.type, m.attitude) for m in r.method_status] == [("PASS", "FAIL"), ("PASS", "PASS"), ("PASS", "REVIEW"), ("FAIL", "FAIL")]
+    assert r.method_rationale_status == [[], [], [], []]
     assert r.risk_status[0].attitude == "FAIL" and r.intent_status == "FAIL" and r.identity_status == "FAIL"
     assert [i.field for i in r.review_items] == ["intent", "attitude", "attitude", "attitude", "attitude", "identity"]
     doubt = run(spark, text, needs_review=True)
