@@ -34,7 +34,8 @@ def _known(docs: DataFrame) -> DataFrame:
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines that an earlier document, or an earlier line, already has.
 
-    A near-duplicate that the next stage removes keeps its lines, so that it is known for one. Null and empty texts stay. Rows without doc_id come after all others.
+    A copy of an earlier document, which the next stage removes, keeps its lines, so that it is known for one. Null and
+    empty texts stay. Rows without doc_id come after all others.
     """
     own = f"{KEY}_own"
     keyed = _keyed(docs).withColumnRenamed("doc_id", own).withColumnRenamed(KEY, "doc_id")
@@ -47,14 +48,17 @@ def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     Of rows with one doc_id and one text, one stays. Rows without doc_id come after all others, one document for each
     text. Texts without words are no near-duplicates of anything.
     """
-    keyed = _keyed(docs)
-    gone = neardup.near_duplicates(_known(keyed), percent=80, width=5).where("not kept").select(F.col("doc_id").alias(KEY)).distinct()
-    left = keyed.join(gone, KEY, "left_anti")
-    # few rows are repeated: only these are compared on their texts
+    stages, keyed = Stages(spark, "groups"), _keyed(docs)
+    # lists of ids are written first, so that the joins with whole texts know how small they are
+    gone = neardup.near_duplicates(_known(keyed), percent=80, width=5).where("not kept")
+    gone = stages.put(gone.select(F.col("doc_id").alias(KEY)).distinct(), "gone")
     row = F.xxhash64(KEY, F.col("text").cast("string"))
-    twice = left.groupBy(row.alias("row")).agg(F.count("*").alias("n")).where("n > 1").select("row")
-    again = left.join(twice, row == twice["row"], "left_semi").dropDuplicates([KEY, "text"])
-    return left.join(twice, row == twice["row"], "left_anti").unionByName(again).select(*docs.columns)
+    twice = stages.put(keyed.groupBy(row.alias("row")).agg(F.count("*").alias("n")).where("n > 1").select("row"), "twice")
+    left = keyed.join(gone, KEY, "left_anti")
+    if not twice.isEmpty():  # few rows are repeated: only these are compared on their texts
+        again = left.join(twice, row == twice["row"], "left_semi").dropDuplicates([KEY, "text"])
+        left = left.join(twice, row == twice["row"], "left_anti").unionByName(again)
+    return left.select(*docs.columns)
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -309,34 +309,51 @@ def dedup_lines(docs: DataFrame, percent: int = 80, width: int = 5) -> DataFrame
 
     Lines are compared without white space at their ends, and count as repeated within the edits of `allowed`: none
     under 10 characters, one under 20, two from there on. A line stays where it is the first of its class in the corpus,
-    or empty. A row that near_duplicates(percent, width) finds to be a copy of an earlier document would be hidden from
-    that operator by what is left of it. It is left as it is, but only where the same operator, run on the result, still
-    finds it in the group of a document that is no such copy, and so removes it. All other rows lose their repeats.
-
-    Null text: stays null. Repeated rows (one doc_id, one text): alike. Null doc_id: ordered last, and never left as a
-    copy. Ties for the first place: by doc_id, then row hash, then line number. Very long texts and lines: whole. Empty
-    table: no rows. Extra columns: kept, whatever their names, but for the reserved `_row`, `_repeats` and `_copy`.
+    or empty. What is left of a copy of a whole document would hide it from a document-level operator, so a copy is left
+    as it is: a row whose similarity (shingles of `width` words) to the document that most of its repeated characters
+    come from, as that document is after its own repeats are gone, is `percent` or more, unless that document is itself
+    left as a copy. Such a row is still found by near_duplicates. All other rows lose their repeats.
+
+    Null text: stays null. Repeated rows (one doc_id, one text): alike. Null doc_id: ordered last. Ties for the first
+    place: by doc_id, then row hash, then line number; between documents that as much comes from: the smaller doc_id.
+    Very long texts and lines: whole. Empty table: no rows. Extra columns: kept, whatever their names, but for the
+    reserved `_row`, `_repeats`, `_source` and `_whole`.
     """
     classes = LineClasses(docs)
     put = classes.stages.put
-    drops = classes.per_row.where(F.size("repeats") > 0).select(F.col("row").alias("_row"), F.col("repeats").alias("_repeats"))
     doc_id, text = F.col("doc_id").cast("long"), F.col("text").cast("string")
-    out = docs.withColumn("_row", F.xxhash64(doc_id, text)).join(drops, "_row", "left")
+    drops = classes.per_row.where(F.size("repeats") > 0).select(F.col("row").alias("_row"), F.col("repeats").alias("_repeats"), F.col("first_docs").alias("_source"))
+    # whole texts move once, to meet their repeats; all that follows reads the written table
+    out = docs.withColumn("_row", F.xxhash64(doc_id, text)).join(drops.hint("merge"), "_row", "left")
+    others = F.filter("_source", lambda x: x["doc_id"].isNotNull() & ~x["doc_id"].eqNullSafe(doc_id))
+    out = out.withColumn("_source", -F.array_max(F.transform(others, lambda x: F.struct(x["n_chars"].alias("n"), (-x["doc_id"]).alias("less"))))["less"])
+    out = put(out, "marked")
     lines, cut = F.split(F.col("text"), "\n", -1), F.col("_repeats").isNotNull()
     kept = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains(F.col("_repeats"), i)), "\n")
-    copies = put(_copies(docs, percent, width).select("doc_id").distinct(), "copies")
-    if not copies.isEmpty():
-        tried = out.join(copies.select(F.col("doc_id").alias("_copy")), doc_id == F.col("_copy"), "left")
-        tried = put(tried.select(doc_id.alias("doc_id"), F.when(cut & F.col("_copy").isNull(), kept).otherwise(text).alias("text")), "tried")
-        still = _copies(tried, percent, width).join(copies, "doc_id", "left_semi").join(copies.select(F.col("doc_id").alias("component_id")), "component_id", "left_anti")
-        whole = put(still.select(F.col("doc_id").alias("_copy")).distinct(), "whole")
-        out, cut = out.join(whole, doc_id == F.col("_copy"), "left"), cut & F.col("_copy").isNull()
-    classes.stages.drop("tried", "copies")
-    return out.withColumn("text", F.when(cut, kept).otherwise(F.col("text"))).select(*docs.columns)
-
-
-def _copies(docs: DataFrame, percent: int, width: int) -> DataFrame:
-    return neardup.near_duplicates(docs, percent=percent, width=width).where("not kept and doc_id is not null").select("doc_id", "component_id").distinct()
+    # the texts that may be copies, and the texts that these may be copies of, as they will be
+    tried = out.where("_source is not null").select("_row", doc_id.alias("doc_id"), "_source", text.alias("a"))
+    known = put(tried.select("_source").distinct(), "sources")
+    firsts = out.select(doc_id.alias("_of"), F.when(cut, kept).otherwise(text).alias("b")).join(known, F.col("_of") == F.col("_source"), "left_semi")
+
+    def alike(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pdf.loc[[_similar(a, b, percent, width) for a, b in zip(pdf.a, pdf.b)], ["_row", "doc_id", "_source"]]
+
+    small_batches(docs.sparkSession)
+    copies = tried.join(firsts, F.col("_source") == F.col("_of")).select("_row", "doc_id", "_source", "a", "b").mapInPandas(alike, "_row long, doc_id long, _source long")
+    copies = put(copies.distinct(), "copies")
+    whole = put(copies.join(copies.select(F.col("doc_id").alias("_too")).distinct(), F.col("_source") == F.col("_too"), "left_anti").select(F.col("_row").alias("_whole")).distinct(), "whole")
+    classes.stages.drop("sources", "copies")
+    out = out.join(whole, F.col("_row") == F.col("_whole"), "left")
+    return out.withColumn("text", F.when(cut & F.col("_whole").isNull(), kept).otherwise(F.col("text"))).select(*docs.columns)
+
+
+def _similar(a: str | None, b: str | None, percent: int, width: int) -> bool:
+    x, y = neardup.shingle_hashes(a, width), neardup.shingle_hashes(b, width)
+    if not len(x) or 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
+        return False
+    common = len(np.intersect1d(x, y, assume_unique=True))
+    return 100 * common >= percent * (len(x) + len(y) - common)
 
 
 def line_report(docs: DataFrame) -> DataFrame:
