@@ -134,13 +134,15 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, cove
         hits = found.drop("raw").join(keys, ["w", "key"])
         again = texts.select(F.col("doc_id").alias("_doc"), F.col("row").alias("_row"), F.col("x.raw").alias("raw")).dropDuplicates(["_doc", "_row"])
         hits = hits.join(again, hits.doc_id.eqNullSafe(F.col("_doc")) & (hits.row == F.col("_row")))
-    # the window with the token before it, which the narrow reading looks at
+    # the window with the token before it, which the narrow reading looks at; slots are made from the written hits
     led = F.when(F.col("at") > 0, 1).otherwise(0)
-    hits = hits.select("doc_id", "row", "at", "item_id", "item", "n_words", "item_at", "w", "item_part", "item_kind", F.slice("raw", F.col("at") + 1, F.col("w")).alias("part"), F.slice(template(F.slice("raw", F.col("at") + 1 - led, F.col("w") + led), narrow=True), led + 1, F.col("w")).alias("kind"))
-    slots = F.filter(F.arrays_zip("kind", "item_kind", "item_part", "part"), lambda x: x["kind"].isin(NUMBER, UNIT, NAME) | x["item_kind"].isin(NUMBER, UNIT, NAME))
+    hits = hits.select("doc_id", "row", "at", "item_id", "item", "n_words", "item_at", "w", "item_part", "item_kind", F.slice("raw", F.col("at") + 1 - led, F.col("w") + led).alias("part"))
+    hits = Stages(docs.sparkSession, "decontaminate").put(hits, "hits")
+    own = lambda c: F.slice(c, led + 1, F.col("w"))
+    slots = F.arrays_zip(own(template(F.col("part"), narrow=True)).alias("kind"), "item_kind", "item_part", own("part").alias("part"))
+    slots = F.filter(slots, lambda x: x["kind"].isin(NUMBER, UNIT, NAME) | x["item_kind"].isin(NUMBER, UNIT, NAME))
     slots = F.transform(slots, lambda x: F.struct(slot(x["item_part"]).alias("item"), slot(x["part"]).alias("doc")))
     found = hits.select("doc_id", "row", "at", "item_id", "item", "n_words", "item_at", "w", slots.alias("slots"))
-    found = Stages(docs.sparkSession, "decontaminate").put(found, "found")
     held = found.groupBy(*_PAIR).agg(F.array_sort(F.collect_set("item_at")).alias("ats"), F.array_distinct(F.flatten(F.collect_set("slots"))).alias("slots"))
     held = held.select(*_PAIR, *_figures(F.col("ats"), F.col("slots"), F.col("w"))).where(F.col("n_covered") >= F.lit(coverage) * F.col("n_words"))
     mixed = held.where("n_pairs <> n_slots").select(*(F.col(c).alias(f"_{c}") for c in _PAIR))
