@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyloom.llm.common import mix, small_batches
+from tallyloom.llm.common import below, mix, small_batches
 
 _NO_LETTERS = re.compile(r"[\W\d_]+")
 # Word characters that are no letters: fractions, raised, circled and other numerals, which \d leaves out.
@@ -80,11 +80,13 @@ def dictionaries(docs: DataFrame, fold: Column, rows_per_language: int = 256, di
     """
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & fold)
     known = known.select(F.col("lang").cast("string").alias("lang"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    counts = {r.lang: r.n for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    counts = {r.lang: (r.n, r.docs) for r in known.groupBy("lang").agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("docs")).collect()}
     if not counts:
         return {}
+    # twice as many documents as are wanted have a hash under this; only these are ranked
+    reach = F.create_map(*(F.lit(x) for lang, (_, n) in counts.items() for x in (lang, below(min(1.0, 2 * rows_per_language / n)))))
     first = lambda *order: F.row_number().over(Window.partitionBy("lang").orderBy(*order))
-    ids = known.select("lang", "doc_id", F.xxhash64("doc_id", F.lit(5)).alias("h"))
+    ids = known.select("lang", "doc_id", F.xxhash64("doc_id", F.lit(5)).alias("h")).where(F.col("h") <= reach[F.col("lang")])
     # a doc_id may fill the table: its rows meet in the partial aggregate, only then the smallest hashes are taken
     ids = ids.groupBy("lang", "doc_id").agg(F.first("h").alias("h")).withColumn("r", first("h", "doc_id")).where(F.col("r") <= rows_per_language).select("lang", "doc_id")
     texts = known.join(F.broadcast(ids), ["lang", "doc_id"]).groupBy("lang", "doc_id").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
@@ -103,7 +105,7 @@ def dictionaries(docs: DataFrame, fold: Column, rows_per_language: int = 256, di
     held: dict[str, list[tuple[int, bytes]]] = {}
     for r in parts.select("lang", "r", "part").collect():
         held.setdefault(r.lang, []).append((r.r, bytes(r.part)))
-    return {lang: b" ".join(part for _, part in sorted(held.get(lang, [])))[:dictionary_bytes] for lang, _ in sorted(counts.items(), key=lambda x: (-x[1], x[0]))}
+    return {lang: b" ".join(part for _, part in sorted(held.get(lang, [])))[:dictionary_bytes] for lang, _ in sorted(counts.items(), key=lambda x: (-x[1][0], x[0]))}
 
 
 def identify(docs: DataFrame, fold: Column, least_margin: int = 1, least_share: float = 0.01, rows_per_language: int = 256, columns: list[str] | None = None) -> DataFrame:
