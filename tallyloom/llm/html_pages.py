@@ -47,7 +47,11 @@ def _article(r: random.Random) -> str:
             parts.append(f"<blockquote><p>{_sentences(r, 2)}</p></blockquote>")
         elif kind < 0.94:
             parts.append("<table>" + "".join(f"<tr><td>{_words(r, 2)}</td><td>{r.randint(1, 999)}</td></tr>" for _ in range(3)) + "</table>")
-        elif kind < 0.97:
+        elif kind < 0.955:
+            parts.append(f'<figure><img src="x.png"><figcaption>{_sentences(r, 1)}</figcaption></figure>' if r.random() < 0.6 else "<dl>" + "".join(f"<dt>{_words(r, 2)}</dt><dd>{_sentences(r, 1)}</dd>" for _ in range(3)) + "</dl>")
+        elif kind < 0.965:
+            parts.append(f"<pre><code>{_words(r, 12)}</code></pre>" if r.random() < 0.5 else f"<section><h3>{_words(r, 3)}</h3><p>{_sentences(r, 2)}</p></section>")
+        elif kind < 0.98:
             parts.append(_no(_named(r, "div", "ad", "advert", "promo", "sponsored"), _sentences(r, 1)))
         else:
             parts.append(_no(_named(r, "div", "share", "social-share", "related", "newsletter-signup"), _links(r, 3)))
@@ -78,7 +82,14 @@ def labelled_page(r: random.Random) -> str:
         (before if some(0.3) else after).append(_no(r.choice(["form", _named(r, "form", "search", "subscribe", "login")]), f"<label>{_words(r, 2)}</label><input><p>{_sentences(r, 1)}</p>"))
     if some(0.85):
         after.append(_no(r.choice(["footer", "footer", _named(r, "div", "footer", "copyright")]), f"&copy; {_words(r, 2)} &middot; {_sentences(r, 1)}"))
-    body = "".join(before) + _article(r) + "".join(after)
+    article = _article(r)
+    if some(0.12):  # pages laid out by a table, and pages of bare blocks without telling names
+        cells = [f'<td valign="top">{"".join(before)}</td>', f"<td>{article}</td>"]
+        body = f'<table width="100%"><tr>{"".join(cells)}</tr></table>' + "".join(after)
+    elif some(0.12):
+        body = "".join(f"<div>{x}</div>" for x in before) + f"<div><div>{article}</div></div>" + "".join(f"<div>{x}</div>" for x in after)
+    else:
+        body = "".join(before) + article + "".join(after)
     if some(0.4):
         body = f'<div class="{r.choice(["page", "wrapper", "container", "site"])}">{body}</div>'
     return f"<!DOCTYPE html><html><head><title>x</title><style>p{{}}</style><script>var t='</p>';</script></head><body>{body}</body></html>"
