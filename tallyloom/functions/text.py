@@ -39,10 +39,13 @@ _MANY = {c: f for c, f in _FOLDED.items() if len(f) > 1}
 
 def fold(text: Column) -> Column:
     """The text case-folded, by built-in functions: ß and SS are alike, and so are both small sigmas."""
-    low = F.translate(F.lower(text), "".join(_ONE), "".join(_ONE.values()))
-    names = F.create_map(*(F.lit(x) for pair in _MANY.items() for x in pair))
-    each = F.array_join(F.transform(F.split(low, ""), lambda c: F.coalesce(names[c], c)), "")
-    return F.when(low.rlike("[" + "".join(_MANY) + "]"), each).otherwise(low)
+    # Latin-1 text, but for the micro sign, only knows ß; all else takes the way of signs
+    low, rare = F.lower(text), {c: f for c, f in _MANY.items() if c != "ß"}
+    names = F.create_map(*(F.lit(x) for pair in rare.items() for x in pair))
+    plain = F.replace(low, F.lit("ß"), F.lit("ss"))
+    full = F.replace(F.translate(low, "".join(_ONE), "".join(_ONE.values())), F.lit("ß"), F.lit("ss"))
+    each = F.array_join(F.transform(F.split(full, ""), lambda c: F.coalesce(names[c], c)), "")
+    return F.when(low.rlike(r"^[\x00-\u00B4\u00B6-\u00FF]*+$"), plain).when(low.rlike("[" + "".join(rare) + "]"), each).otherwise(full)
 
 
 def near_key(text: Column) -> Column:

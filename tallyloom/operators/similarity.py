@@ -24,6 +24,12 @@ def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([SequenceMatcher(None, x, y, autojunk=False).ratio() for x, y in zip(a, b)], dtype="float64")
 
 
+def _in_reach(a: Column, b: Column, least: float) -> Column:
+    """Whether the ratio may be `least` or more: each of the (1 - ratio)(|a| + |b|) characters outside common blocks takes
+    one insertion or deletion at least, so the edit distance, which is built in and quick, is no more than that."""
+    return F.levenshtein(a, b) <= F.floor((1 - least) * (F.length(a) + F.length(b)) + 1e-9)
+
+
 def edit_similarity(a: Column, b: Column) -> Column:
     return 1 - F.levenshtein(a, b) / F.greatest(F.length(a), F.length(b), F.lit(1))
 
@@ -71,6 +77,8 @@ def near_pairs(texts: DataFrame, least: float = 0.9, measure: str = "ratio") ->
     # 2 M >= least (m + n) and M <= m, n: the other length is at most m (2 - least) / least, and m + n - 2 M characters differ
     slack = (lambda n: n * (1 - least) / least) if measure == "edits" else (lambda n: n * 2 * (1 - least) / least)
     pairs = _with_texts(candidates(known, slack), known)
+    if measure == "ratio":
+        pairs = pairs.where(_in_reach(F.col("a_text"), F.col("b_text"), least))
     score = edit_similarity(F.col("a_text"), F.col("b_text")) if measure == "edits" else ratio("b_text", "a_text")
     return pairs.select("a", "b", score.alias("similarity")).where(F.col("similarity") >= least - 1e-12)
 
@@ -105,7 +113,7 @@ def leader_groups(comments: DataFrame, least: float = 0.9) -> DataFrame:
     texts = graph.cut(folded.select("text", "norm").distinct())
     norms = texts.groupBy("norm").agg(F.min("text").alias("first"))
     keyed = norms.select(F.col("norm").alias("id"), F.lit(1).alias("platform"), F.col("norm").alias("text"))
-    pairs = candidates(keyed, lambda n: n * 2 * (1 - least) / least)
+    pairs = graph.cut(candidates(keyed, lambda n: n * 2 * (1 - least) / least).where(_in_reach(F.col("a"), F.col("b"), least)))
     both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
     close = F.abs(F.length("a") - F.length("b")) <= F.greatest(F.lit(2.0), 0.15 * F.length("a"))
     alike = graph.cut(both.where(close).where(ratio("a", "b") >= least))
