@@ -13,6 +13,8 @@ from tallyloom.llm.linear import Features, fit, score, training_rows
 
 SIZE = 1 << 18
 STEMS = (4, 5)
+#: L1 strength: most word beginnings of rare toxic documents are chance, and only those that keep coming may weigh.
+SPARSE = 8.0
 _WORD = re.compile(r"[^\W_]+")
 
 # Neutral terms for groups of people, and the term each is swapped for.
@@ -57,7 +59,7 @@ def with_twin(text: str) -> list[Features]:
 
 def train(rows: list[tuple[list[Features], int]], fairness: float = 1.0) -> np.ndarray:
     """Weights from (with_twin(text), label)."""
-    return fit([(made[0], label) for made, label in rows], SIZE, twins=[made[1] if len(made) > 1 else None for made, _ in rows], fairness=fairness, alpha=0.3, l1=1.0)
+    return fit([(made[0], label) for made, label in rows], SIZE, twins=[made[1] if len(made) > 1 else None for made, _ in rows], fairness=fairness, alpha=0.3, l1=SPARSE)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, fold: Column, label: str = "toxic", most_rows: int = 8000, fairness: float = 1.0, cut: float = 0.3) -> DataFrame:
