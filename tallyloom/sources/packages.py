@@ -15,7 +15,7 @@ from tallyloom.operators import dictionary
 
 # The contract of a package, and the settings that a file may give.
 CONTRACT = ("equity-social-corpus", "1.0.0")
-SETTINGS = ("MENTAL_BASE_URL", "MENTAL_API_KEY", "MENTAL_MODEL")
+SETTINGS = ("BASE_URL", "API_KEY", "MODEL")
 
 
 def _bytes(spark: SparkSession, path: str) -> DataFrame:
@@ -126,11 +126,11 @@ def labelled(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("multiLine", not path.endswith(("l", "nd"))).json(path)
 
 
-def environment(lines: list[str], present: dict[str, str]) -> dict[str, str]:
-    """The settings that lines KEY=value give and the process has not; other keys are passed over."""
+def environment(lines: list[str], present: dict[str, str], prefix: str) -> dict[str, str]:
+    """The settings (prefix and BASE_URL, API_KEY or MODEL) of lines KEY=value; the process's own go before. Other keys are passed over."""
     out = {}
     for key, sign, value in (line.strip().partition("=") for line in lines):
-        if sign and not key.startswith("#") and key.strip() in SETTINGS:
+        if sign and not key.startswith("#") and key.strip() in [prefix + x for x in SETTINGS]:
             out.setdefault(key.strip(), value.strip().strip("\"'"))
     return {k: present.get(k, v) for k, v in out.items()}
 

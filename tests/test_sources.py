@@ -94,7 +94,7 @@ def test_catalogue_listing_and_settings(spark, tmp_path):
         packages.catalogue(spark, put(tmp_path / "bad.json", {"entities": [{**good, "source": ""}]})).collect()
     js = put(tmp_path / "l.js", '_t.push({val:"600001",val2:"Alpha"});_t.push({val:"510050",val2:"Beta ETF"});_t.push({val:"000001",val2:"Gamma"});')
     assert [tuple(r) for r in packages.listing(spark, js).orderBy("code").collect()] == [("510050", "Beta ETF", "ETF"), ("600001", "Alpha", "STOCK")]
-    assert packages.environment(["# x", "MENTAL_MODEL = 'm'", "OTHER=1", "MENTAL_API_KEY=k"], {"MENTAL_API_KEY": "own"}) == {"MENTAL_MODEL": "m", "MENTAL_API_KEY": "own"}
+    assert packages.environment(["# x", "T_MODEL = 'm'", "OTHER=1", "T_API_KEY=k"], {"T_API_KEY": "own"}, "T_") == {"T_MODEL": "m", "T_API_KEY": "own"}
     assert packages.config({})["max_attempts"] == 3
     for bad in ({"concurrency": 0}, {"max_calls": 1.5}, {"max_tokens": -1}, {"analysis_cutoff": "2024-01-01T00:00:00"}):
         with pytest.raises(ValueError):
