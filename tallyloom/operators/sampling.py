@@ -34,10 +34,13 @@ def pseudonym(author: Column) -> Column:
     return F.substring(F.sha2(author, 256), 1, 16)
 
 
+def _hardest() -> list[Column]:
+    return [triggers(F.col("text")).desc(), F.length("text").desc(), F.col("group_id")]
+
+
 def challenge_order(groups: DataFrame) -> DataFrame:
-    """groups (group_id, text) with their place: most triggers first, then the longer text, then the id."""
-    order = [triggers(F.col("text")).desc(), F.length("text").desc(), F.col("group_id")]
-    return groups.orderBy(*order)
+    """groups (group_id, text) with most triggers first, then the longer text, then the id."""
+    return groups.orderBy(*_hardest())
 
 
 def annotation_plan(comments: DataFrame, seed: int = 42, random: int = 200, challenge: int = 200, each: int = 50, dev: int = 100, double: int = 50) -> DataFrame:
@@ -61,8 +64,9 @@ def annotation_plan(comments: DataFrame, seed: int = 42, random: int = 200, chal
         left = rest.where(kind) if chosen is None else rest.where(kind).join(chosen, "group_id", "left_anti")
         some = left.orderBy(chance(seed + 1 + i, "group_id"), "group_id").limit(each).select("group_id")
         chosen = some if chosen is None else chosen.unionByName(some)
-    fill = challenge_order(rest.join(chosen, "group_id", "left_anti")).limit(max(0, challenge - each * len(kinds))).select("group_id")
-    hard = chosen.unionByName(fill).limit(challenge)
+    # first the chosen ones, then the hardest of the rest
+    marked = rest.join(chosen.withColumn("_chosen", F.lit(1)), "group_id", "left")
+    hard = marked.orderBy(F.col("_chosen").isNull(), *_hardest()).limit(challenge).select("group_id")
     sample = picked.withColumn("stratum", F.lit("STRATIFIED_RANDOM")).unionByName(hard.withColumn("stratum", F.lit("CHALLENGE"))).join(groups, "group_id")
     place = F.row_number().over(Window.orderBy(chance(seed + 9, "group_id"), "group_id"))  # a sample of a few hundred rows
     return sample.withColumn("place", place).select(

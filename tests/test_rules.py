@@ -151,6 +151,7 @@ def test_sampling_plans(spark):
     plan = sampling.annotation_plan(rows, random=60, challenge=60, each=10, dev=40, double=20)
     got = plan.collect()
     assert len({r.group_id for r in got}) == len(got) == 120 and sum(r.split == "dev" for r in got) == 40 and sum(r.double for r in got) == 20
+    assert sampling.annotation_plan(rows.where("comment_key < 300"), random=30, challenge=100, each=10, dev=40, double=20).where("stratum = 'CHALLENGE'").count() == 100
     assert sorted(map(str, got)) == sorted(map(str, sampling.annotation_plan(rows.repartition(7), random=60, challenge=60, each=10, dev=40, double=20).collect()))
     sizes = {f"g{i}": 1 + i % 4 for i in range(30)}
     assert sum(sizes[g] for g in sampling.exact_groups(sizes, 33)) == 33 and sum(sizes[g] for g in sampling.greedy_groups(sizes, 33)) <= 33
