@@ -324,7 +324,7 @@ def dedup_lines(docs: DataFrame, percent: int = 80, width: int = 5) -> DataFrame
     doc_id, text = F.col("doc_id").cast("long"), F.col("text").cast("string")
     drops = classes.per_row.where(F.size("repeats") > 0).select(F.col("row").alias("_row"), F.col("repeats").alias("_repeats"), F.col("first_docs").alias("_source"))
     # whole texts move once, to meet their repeats; all that follows reads the written table
-    out = docs.withColumn("_row", F.xxhash64(doc_id, text)).join(drops.hint("merge"), "_row", "left")
+    out = docs.withColumn("_row", F.xxhash64(doc_id, text)).join(drops.hint("shuffle_hash"), "_row", "left")
     others = F.filter("_source", lambda x: x["doc_id"].isNotNull() & ~x["doc_id"].eqNullSafe(doc_id))
     out = out.withColumn("_source", -F.array_max(F.transform(others, lambda x: F.struct(x["n_chars"].alias("n"), (-x["doc_id"]).alias("less"))))["less"])
     out = put(out, "marked")
