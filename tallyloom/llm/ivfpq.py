@@ -47,21 +47,44 @@ class Model:
     def spans(self) -> list[tuple[int, int]]:
         return list(zip(self.edges[:-1], self.edges[1:]))
 
-    def encode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """List and code bytes of each row."""
+    def encode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """List, code bytes, and distance from what the code stands for, of each row."""
         own = nearest(x, self.centres, 1)[:, 0]
         residual = x - self.centres[own]
-        return own, np.stack([nearest(residual[:, a:b], w, 1)[:, 0] for (a, b), w in zip(self.spans, self.words)], axis=1).astype(np.uint8)
+        codes = np.stack([nearest(residual[:, a:b], w, 1)[:, 0] for (a, b), w in zip(self.spans, self.words)], axis=1).astype(np.uint8)
+        away = sum(((residual[:, a:b] - w[codes[:, p]]) ** 2).sum(1) for p, ((a, b), w) in enumerate(zip(self.spans, self.words)))
+        return own, codes, np.sqrt(away)
 
     def distances(self, queries: np.ndarray, which: int, codes: np.ndarray) -> np.ndarray:
         """Asymmetric squared distances from queries (rows) to coded rows of one list (columns), by one table for each part."""
-        residual = (queries - self.centres[which]).astype(np.float32)
-        total = np.zeros((len(queries), len(codes)), np.float32)
+        residual = queries - self.centres[which]
+        total = np.zeros((len(queries), len(codes)))
         for p, ((a, b), w) in enumerate(zip(self.spans, self.words)):
+            w = w.astype(np.float64)
             table = (w**2).sum(1) - 2 * residual[:, a:b] @ w.T + (residual[:, a:b] ** 2).sum(1)[:, None]
             total += table[:, codes[:, p]]
         return total
 
+    def near(self, queries: np.ndarray, which: int, codes: np.ndarray, away: np.ndarray, members: np.ndarray, n: int) -> np.ndarray:
+        """Which coded rows of one list (columns) may be among the n nearest of each query (rows): none that is, is left out.
+
+        A row lies within `away` of what its code stands for, so a code bounds its distance from both sides. Where codes
+        tell too few rows apart, products of the rows themselves, with a bound of their rounding, tell more.
+        """
+        residual, own = queries - self.centres[which], members - self.centres[which]
+        size, unit = (residual**2).sum(1)[:, None], 4 * (queries.shape[1] + 16) * np.finfo(float).eps
+        rounding = unit * (size + sum((w.astype(np.float64) ** 2).sum(1).max() for w in self.words))
+        square = self.distances(queries, which, codes)
+        least = np.sqrt(np.maximum(square - rounding, 0)) - away * (1 + 1e-9)
+        most = np.sqrt(np.maximum(square, 0) + rounding) + away * (1 + 1e-9)
+        keep = least <= np.partition(most, n - 1, axis=1)[:, n - 1 : n]
+        if keep.sum() > 4 * n * len(queries):
+            squares = (own**2).sum(1)
+            rounding = unit * (size + squares)
+            square = size - 2 * residual @ own.T + squares
+            keep &= square - rounding <= np.partition(square + rounding, n - 1, axis=1)[:, n - 1 : n]
+        return keep
+
 
 def usable(vector: str) -> Column:
     """Not null or zero, and without null or non-finite components."""
@@ -80,8 +103,9 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10, recall: float = 0.
     Returns query_id, rank (from 1), vec_id, score: Euclidean distance in double precision, ties by smaller vec_id.
     Every row is indexed; centroids and codewords are fitted on at most `most_sample` rows (smallest hash of vec_id).
     How many lists a query looks into is measured: `most_trial` queries (smallest hash) are compared with every row, and
-    as many of the nearest lists are taken as hold the share `recall` of their true neighbours (8 at least). Of each block
-    `rerank` rows are reranked on their vectors.
+    as many of the nearest lists are taken as hold the share `recall` of their true neighbours (8 at least). In a
+    list nothing is lost: where a block has over `rerank` rows, codes with their
+    errors bound each distance, and all rows that may be near are reranked on their vectors.
 
     Of rows with one and the same vector only the k + 1 of smallest vec_id are candidates: others can't be among the k
     nearest of any query, so nothing is lost and a hot vector costs no more than a rare one. Queries with one vector are
@@ -117,6 +141,17 @@ def _best(asked: np.ndarray, ids: np.ndarray, score: np.ndarray, k: int, repeate
     return out.drop_duplicates(["asked", "vec_id"]).groupby("asked").head(k + 1) if repeated else out
 
 
+def _best_of(asked: np.ndarray, ids: np.ndarray, keep: np.ndarray, members: np.ndarray, queries: np.ndarray, k: int) -> pd.DataFrame:
+    """As _best, of the members (columns) kept for each query (rows)."""
+    q, m = np.nonzero(keep)
+    step = max(1, _HELD // members.shape[1])
+    score = np.concatenate([np.sqrt(((members[m[i : i + step]] - queries[q[i : i + step]]) ** 2).sum(-1)) for i in range(0, len(q), step)])
+    order = np.lexsort((ids[m], score, q))
+    q, m, score = q[order], m[order], score[order]
+    first = np.arange(len(q)) - np.searchsorted(q, q) <= k
+    return pd.DataFrame({"asked": asked[q[first]], "vec_id": ids[m[first]], "score": score[first]})
+
+
 def _matrix(cells, dims: int) -> np.ndarray:
     return np.frombuffer(b"".join(cells), np.float64).reshape(-1, dims)
 
@@ -142,10 +177,10 @@ def _search(rows: DataFrame, dims: int, k: int, recall: float, parts: int, reran
         for pdf in batches:
             if len(pdf):
                 x = np.array(pdf.v.tolist())
-                own, codes = model.value.encode(x)
-                yield pd.DataFrame({"list": own.astype(np.int32), "vec_id": pdf.vec_id, "code": [c.tobytes() for c in codes], "vector": [v.tobytes() for v in x]})
+                own, codes, away = model.value.encode(x)
+                yield pd.DataFrame({"list": own.astype(np.int32), "vec_id": pdf.vec_id, "code": [c.tobytes() for c in codes], "away": away, "vector": [v.tobytes() for v in x]})
 
-    coded = stages.put(distinct.mapInPandas(index, "list int, vec_id long, code binary, vector binary"), "coded")
+    coded = stages.put(distinct.mapInPandas(index, "list int, vec_id long, code binary, away double, vector binary"), "coded")
     cuts = stages.put(coded.groupBy("list").agg(F.ceil(F.count("*") / block).cast("int").alias("cuts")), "cuts")
     asked = stages.put(rows.where("asks").select("vec_id", "v").distinct(), "asked")
     # a query vector goes by its smallest vec_id and its hash, as one vec_id may ask with several vectors
@@ -162,7 +197,7 @@ def _search(rows: DataFrame, dims: int, k: int, recall: float, parts: int, reran
                 yield pd.DataFrame({"asked": np.repeat(part.asked.to_numpy(), probes), "query": np.repeat(np.array([v.tobytes() for v in x], object), probes), "list": near.ravel().astype(np.int32)})
 
     salt = F.pmod(F.xxhash64("vec_id"), F.col("cuts")).cast("int").alias("cut")
-    blocks = coded.join(F.broadcast(cuts), "list").groupBy("list", salt).agg(F.collect_list(F.struct("vec_id", "code", "vector")).alias("members"))
+    blocks = coded.join(F.broadcast(cuts), "list").groupBy("list", salt).agg(F.collect_list(F.struct("vec_id", "code", "away", "vector")).alias("members"))
     packs = max(1, -(-queries.count() // 256))
     probed = queries.mapInPandas(probing, "asked string, query binary, list int")
     probed = probed.groupBy("list", F.pmod(F.xxhash64("asked"), F.lit(packs)).alias("pack")).agg(F.collect_list(F.struct("asked", "query")).alias("asking"))
@@ -176,12 +211,13 @@ def _search(rows: DataFrame, dims: int, k: int, recall: float, parts: int, reran
                 codes = np.frombuffer(b"".join(m["code"] for m in row.members), np.uint8).reshape(len(ids), -1)
                 of, x = np.array([q["asked"] for q in row.asking]), _matrix((q["query"] for q in row.asking), dims)
                 repeated = len(np.unique(ids)) < len(ids)
-                step = max(1, _HELD // (min(rerank, len(ids)) * dims + len(ids)))
+                away = np.array([m["away"] for m in row.members])
+                coarse = len(ids) > max(rerank, k + 1) and not repeated
+                step = max(1, _HELD // (len(ids) * (16 if coarse else dims)))
                 for i in range(0, len(of), step):
                     q = x[i : i + step]
-                    if len(ids) > rerank:
-                        near = np.argpartition(model.value.distances(q, row.list, codes), rerank - 1, axis=1)[:, :rerank]
-                        yield _best(of[i : i + step], ids[near], _exact(full[near], q), k, repeated)
+                    if coarse:
+                        yield _best_of(of[i : i + step], ids, model.value.near(q, row.list, codes, away, full, k + 1), full, q, k)
                     else:
                         yield _best(of[i : i + step], np.broadcast_to(ids, (len(q), len(ids))), _exact(full[None], q), k, repeated)
 

@@ -276,3 +276,19 @@ def test_stages_refuse_a_folder_that_machines_do_not_share():
 def test_folds_are_the_contracts(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", (bucket("doc_id", 4) == 2).alias("held"))
     assert all(r.held == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) for r in docs.collect())
+
+
+def test_near_loses_no_row_that_shares_a_code():
+    """A ball far smaller than a codeword's reach: the codes alone can't order its rows."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(3000, 16))
+    x[:2000] = 3 + rng.normal(size=(2000, 16)) * 1e-6
+    model = ivfpq.Model(x, 1, 4, 16)
+    own, codes, away = model.encode(x)
+    keep = model.near(x[:50], 0, codes, away, x, 11)
+    for q in range(50):
+        true = np.argsort(((x - x[q]) ** 2).sum(1))[:11]
+        assert keep[q, true].all()
+        by_code = np.argpartition(model.distances(x[q : q + 1], 0, codes)[0], 199)[:200]
+        assert len(set(by_code) & set(true)) < 10  # what the first 200 by code alone would find
+    assert keep.mean() < 0.5
