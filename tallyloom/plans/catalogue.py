@@ -234,7 +234,8 @@ def identity_merge(spark, sf_dir):
 
 @_query("SELECT l_partkey AS part, first(l_suppkey ORDER BY l_orderkey, l_linenumber) AS supplier, first(l_returnflag ORDER BY l_orderkey, l_linenumber) AS flag, count(*) AS n_sources, count(DISTINCT l_suppkey) > 1 OR count(DISTINCT l_returnflag) > 1 AS conflict FROM lineitem GROUP BY l_partkey")
 def identity_first_seen(spark, sf_dir):
-    rows = _t(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("part"), F.col("l_suppkey").alias("supplier"), F.col("l_returnflag").alias("flag"), (F.col("l_orderkey") * 100 + F.col("l_linenumber")).alias("seen"))
+    # rows of one order and line: the first in the file, as the SQL takes them when one thread reads
+    rows = _t(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("part"), F.col("l_suppkey").alias("supplier"), F.col("l_returnflag").alias("flag"), F.struct("l_orderkey", "l_linenumber", "_metadata.file_path", "_metadata.row_index").alias("seen"))
     return identity.first_seen(rows, "part", "seen", ["supplier", "flag"])
 
 

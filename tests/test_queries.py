@@ -40,3 +40,12 @@ def test_without_sql(spark, name):
 def test_contract(spark):
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_first_seen_of_tied_rows(spark, tmp_path):
+    c = duckdb.connect()
+    c.sql("SET threads = 1")
+    c.sql(f"COPY (SELECT * REPLACE (l_orderkey % 2 AS l_orderkey, 1 AS l_linenumber) FROM '{SF}/lineitem.parquet') TO '{tmp_path}/lineitem.parquet'")
+    c.sql(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet'")
+    ours = catalogue.QUERIES["identity_first_seen"](spark, str(tmp_path)).toPandas()
+    assert rows(ours) == rows(c.sql(catalogue.ORACLES["identity_first_seen"]).df())
