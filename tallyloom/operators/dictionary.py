@@ -76,7 +76,10 @@ def resolve(mentions_: DataFrame, aliases: DataFrame, key: str = "mention_id") -
     case, the category (INDEX and ASSET are one), a day within its validity, both ends included, and evidence.
     """
     has = lambda df, *cs: [c for c in cs if c in df.columns]
-    left = mentions_.select(key, F.lower("alias").alias("_alias"), F.col("category").alias("_category"), *has(mentions_, "day", "quote", "text"))
+    whole = mentions_.select(key, F.lower("alias").alias("_alias"), F.col("category").alias("_category"), *has(mentions_, "day", "quote", "text"))
+    # mentions alike in all that decides meet the aliases once: many share a name
+    facts = [c for c in whole.columns if c != key]
+    left = whole.select(*facts).distinct()
     right = aliases.select(F.lower("alias").alias("_alias"), F.col("category").alias("_of"), "entity_id", *has(aliases, "valid_from", "valid_to", "name")).distinct()
     pair = F.array_sort(F.array("_category", "_of")) == F.array(F.lit("ASSET"), F.lit("INDEX")) if dict(mentions_.dtypes)["category"] == "string" else F.lit(False)
     fits = (F.col("_category") == F.col("_of")) | pair
@@ -88,7 +91,12 @@ def resolve(mentions_: DataFrame, aliases: DataFrame, key: str = "mention_id") -
     met = left.join(right, "_alias", "left").withColumn("_fit", F.when(fits, F.col("entity_id")))
     common = ordinary(F.col("name"), F.col("text")) if {"name", "text"} <= set(met.columns) else F.lit(False)
     # one entity: the least and the greatest are the same
-    hit = met.groupBy(key).agg(F.min("_fit").alias("lo"), F.max("_fit").alias("hi"), F.count_distinct("_fit").alias("n_candidates"), F.coalesce(F.bool_or(F.when(F.col("_fit").isNotNull(), common)), F.lit(False)).alias("common"))
+    figures = F.min("_fit").alias("lo"), F.max("_fit").alias("hi"), F.count_distinct("_fit").alias("n"), F.coalesce(F.bool_or(F.when(F.col("_fit").isNotNull(), common)), F.lit(False)).alias("common")
+    same = lambda df: whole.join(df.select(*(F.col(c).alias(f"_m{c}") for c in facts), *(c for c in df.columns if c not in facts)), [F.col(c).eqNullSafe(F.col(f"_m{c}")) for c in facts])
+    each = same(met.groupBy(*facts).agg(*figures)).groupBy(key).agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.max("n").alias("n"), F.bool_or("common").alias("common"), F.count("*").alias("rows"))
+    # a mention of several rows has the candidates of all of them, each once
+    several = same(met.select(*facts, "_fit").where("_fit is not null").distinct()).join(each.where("rows > 1").select(key), key).groupBy(key).agg(F.count_distinct("_fit").alias("all"))
+    hit = each.join(several, key, "left").withColumn("n_candidates", F.coalesce("all", "n"))
     one = F.coalesce(F.col("lo") == F.col("hi"), F.lit(False))
     reason = F.when(~one, "AMBIGUOUS_OR_MISSING_OR_UNGROUNDED").when(F.col("common"), "ORDINARY_PHRASE_REQUIRES_DISAMBIGUATION")
     return hit.select(key, F.when(one & ~F.col("common"), F.col("lo")).alias("entity_id"), F.when(one & ~F.col("common"), "RESOLVED").otherwise("UNRESOLVED").alias("state"), "n_candidates", reason.alias("reason"))

@@ -49,3 +49,20 @@ def test_first_seen_of_tied_rows(spark, tmp_path):
     c.sql(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet'")
     ours = catalogue.QUERIES["identity_first_seen"](spark, str(tmp_path)).toPandas()
     assert rows(ours) == rows(c.sql(catalogue.ORACLES["identity_first_seen"]).df())
+
+
+def test_resolution_by_hot_aliases(spark):
+    """Mentions alike in all that decides are resolved once; null categories stay unresolved."""
+    from tallyloom.operators import dictionary
+
+    aliases = spark.createDataFrame([("A", 1, "e1"), ("a", 2, "e2"), ("a", 2, "e3"), ("b", None, "e4")], "alias string, category int, entity_id string")
+    said = spark.createDataFrame([(i, ("A", "a", "b", None)[i % 4], (1, 2, None)[i % 3]) for i in range(24)], "mention_id long, alias string, category int")
+    got = {r.mention_id: (r.entity_id, r.n_candidates) for r in dictionary.resolve(said, aliases).collect()}
+    assert got == {i: ("e1", 1) if i % 4 < 2 and i % 3 == 0 else (None, 2 if i % 4 < 2 and i % 3 == 1 else 0) for i in range(24)}
+    twice = said.unionByName(spark.createDataFrame([(0, "a", 2)], "mention_id long, alias string, category int"))
+    assert {r.mention_id: r.n_candidates for r in dictionary.resolve(twice, aliases).collect()}[0] == 3
+    # many aliases of one name, and many mentions of it: pairs of them are not made
+    hot = spark.range(3000).selectExpr("id AS mention_id", "'x' AS alias", "1 AS category"), spark.range(3000).selectExpr("'x' AS alias", "2 AS category", "CAST(id AS STRING) AS entity_id")
+    out = dictionary.resolve(*hot)
+    assert out.where("state = 'UNRESOLVED'").count() == 3000
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("Aggregate") > 2
