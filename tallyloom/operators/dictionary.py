@@ -18,6 +18,8 @@ SPECIFIC_FUND, FUND_CONCEPT = "具体基金", "基金概念（未指定产品）
 
 #: Lengths of name beginnings under which names and texts meet.
 STEMS = (1, 2, 4, 8, 16)
+#: So many distinct names are sent to every task; more are met by a shuffle join.
+_FEW_NAMES = 100_000
 
 
 def grounded(alias: Column, text: Column) -> Column:
@@ -41,15 +43,26 @@ def mentions(texts: DataFrame, names: DataFrame) -> DataFrame:
     stem = F.greatest(*(F.when(F.length("name") >= s, s) for s in STEMS))
     distinct = known.select("name").distinct().withColumn("stem", stem).withColumn("key", F.xxhash64("stem", F.substring("name", F.lit(1), F.col("stem"))))
     low = texts.select("id", F.lower("text").alias("low"))
-    places = low.select("id", F.col("low"), F.explode(F.sequence(F.lit(1), F.length("low"))).alias("at")).where("low <> ''")
-    probes = places.select("id", "at", F.explode(F.array(*(F.struct(F.lit(s).alias("stem"), F.substring("low", F.col("at"), F.lit(s)).alias("part")) for s in STEMS))).alias("x"))
-    probes = probes.where(F.length("x.part") == F.col("x.stem")).select("id", "at", F.col("x.stem").alias("stem"), F.xxhash64("x.stem", "x.part").alias("key"))
-    met = probes.join(distinct, ["key", "stem"]).select("id", "at", "name").join(low, "id")
+    edge = lambda c: ~F.coalesce(c.rlike("^[a-z0-9]$"), F.lit(False))
+    before = F.substring("low", F.col("at") - 1, F.when(F.col("at") > 1, 1).otherwise(0))
+    ascii_ = F.col("name").rlike(r"^[\x00-\x7F]*$")
+    few = distinct.limit(_FEW_NAMES + 1).count() <= _FEW_NAMES
+    # few names go to every task, only the lengths of their beginnings are probed, and places inside a word where all are ASCII
+    facts = distinct.agg(F.collect_set("stem").alias("stems"), F.coalesce(F.bool_and(ascii_), F.lit(True)).alias("ascii")).first() if few else None
+    stems, kept = (sorted(facts.stems), ["low"]) if few else (STEMS, [])
+    places = low.select("id", "low", F.explode(F.sequence(F.lit(1), F.length("low"))).alias("at")).where("low <> ''")
+    if few and facts.ascii:
+        places = places.where(edge(before))
+    probes = places.select("id", "at", *kept, F.explode(F.array(*(F.struct(F.lit(s).alias("stem"), F.substring("low", F.col("at"), F.lit(s)).alias("part")) for s in stems or STEMS))).alias("x"))
+    probes = probes.where(F.length("x.part") == F.col("x.stem")).select("id", "at", *kept, F.col("x.stem").alias("stem"), F.xxhash64("x.stem", "x.part").alias("key"))
+    if few:
+        met = probes.join(F.broadcast(distinct), ["key", "stem"]).select("id", "at", "name", "low")
+    else:
+        met = probes.join(distinct, ["key", "stem"]).select("id", "at", "name").join(low, "id")
     size = F.length("name")
     whole = F.substring("low", F.col("at"), size) == F.col("name")
-    edge = lambda c: ~F.coalesce(c.rlike("^[a-z0-9]$"), F.lit(False))
-    apart = edge(F.substring("low", F.col("at") - 1, F.when(F.col("at") > 1, 1).otherwise(0))) & edge(F.substring("low", F.col("at") + size, F.lit(1)))
-    met = met.where(whole & (apart | ~F.col("name").rlike(r"^[\x00-\x7F]*$"))).select("id", F.struct("at", (-size).alias("less"), "name").alias("hit"))
+    apart = edge(before) & edge(F.substring("low", F.col("at") + size, F.lit(1)))
+    met = met.where(whole & (apart | ~ascii_)).select("id", F.struct("at", (-size).alias("less"), "name").alias("hit"))
     hits = met.groupBy("id").agg(F.array_sort(F.collect_set("hit")).alias("hits"))
     none = F.expr("cast(array() as array<struct<at:int,less:int,name:string>>)")
 
