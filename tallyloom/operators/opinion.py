@@ -4,6 +4,9 @@ comments: comment_key, video, user_id, text, copies (duplicate group), likes, ti
 views: comment_key, entity_id, resolution, stance, action, speech_act, basis, n_rationales, and a state *_gate of each of
 entity, stance, action, speech and context. Each table has one row for each of its things; nothing is nested, so every
 figure is a partial aggregate and no group of rows is gathered in one place.
+
+Rankings deal their tables to tasks by the number of rows, since the session's number of shuffle partitions does not grow
+with them. Where a group can be hot, its rows are dealt by parts of the comments first, and the parts' figures put together.
 """
 
 from __future__ import annotations
@@ -16,6 +19,8 @@ from tallyloom.operators.consensus import LEAST_SAMPLE, only
 
 ACTIONS = ("BUY", "HOLD", "WATCH", "AVOID", "SELL", "WAIT")
 STANCES = ("BULLISH", "BEARISH", "NEUTRAL")
+#: Rows of the largest table for a task, and rows that are worth a task of their own.
+ROWS, FEW = 250_000, 20_000
 
 
 def passed(gate: str) -> Column:
@@ -35,6 +40,22 @@ def eligible(comments: DataFrame) -> DataFrame:
     return comments.where(valid() & usable())
 
 
+def tasks(*tables: DataFrame) -> int:
+    """To how many tasks tables are dealt, so that none gets many more than ROWS rows of any of them."""
+    rows, cores = max(t.count() for t in tables), tables[0].sparkSession.sparkContext.defaultParallelism
+    return max(-(-rows // ROWS), min(cores, -(-rows // FEW)), 1)
+
+
+def dealt(n: int, *tables: DataFrame) -> list[DataFrame]:
+    """The tables dealt to n tasks by exactly the key of their joins: by less, Spark would deal them anew."""
+    return [t.repartition(n, "comment_key") for t in tables]
+
+
+def parted(df: DataFrame, n: int, *by: str) -> DataFrame:
+    """df with _part, one of n parts of the comments, dealt by both: a hot group is shared by many tasks, a comment of it by none."""
+    return df.withColumn("_part", F.pmod(F.xxhash64("comment_key"), F.lit(n))).repartition(n, "_part", *by)
+
+
 def accepted(views: DataFrame, comments: DataFrame) -> DataFrame:
     """Views of eligible comments whose entity is evidenced and resolved."""
     return views.where(passed("entity_gate") & (F.col("resolution") == "RESOLVED")).join(eligible(comments).select("comment_key"), "comment_key")
@@ -79,20 +100,31 @@ def entity_ranking(views: DataFrame, comments: DataFrame) -> DataFrame:
     Engagement is the mid-rank percentile of likes among the valid comments of a video. engagement_ratio weights each
     directional comment by 1 + percentile, and leaves out comments without likes.
     """
+    n = tasks(views, comments)
     liked = ranking.mid_rank_percentile(comments.where(valid() & F.col("video").isNotNull()), "video", "likes", "engagement").select("comment_key", "engagement")
+    views, comments, liked = dealt(n, views, comments, liked)
     facts = comments.select("comment_key", "user_id", "text", "copies").join(liked, "comment_key", "left")
     each = per_comment(accepted(views, comments)).join(facts, "comment_key")
-    count = lambda c: F.count_if(F.col(c))
-    weight = lambda s: F.sum(F.when(F.col("stance") == s, 1 + F.col("engagement")))
+    # three rows of each: one for its text, which counts for the figures, one for its group of copies, one for its user
+    values = {"text": F.coalesce("text", F.col("comment_key").cast("string")), "copies": F.coalesce("copies", F.col("comment_key").cast("string")), "user_id": F.col("user_id")}
+    rows = each.withColumns({"_known": F.col("user_id").isNotNull(), "_of": F.explode(F.array(*map(F.lit, values)))}).where((F.col("_of") != "user_id") | F.col("_known"))
+    rows = rows.withColumns({c: F.when(F.col("_of") == c, v) for c, v in values.items()})
+    of = lambda c: F.col("_of") == c
+    count = lambda c: F.count_if(of("text") & c)
+    weight = lambda s: F.sum(F.when(of("text") & (F.col("stance") == s), 1 + F.col("engagement")))
+    flags = {"explicit_count": "explicit", "context_count": "contextual", "recommendation_count": "recommended", "self_position_count": "self_position", "self_buy_count": "self_buy"} | {f"{a.lower()}_count": f"did_{a.lower()}" for a in ACTIONS}
     figures = {
-        "mentions": F.count("*"), "explicit_count": count("explicit"), "context_count": count("contextual"), "recommendation_count": count("recommended"), "self_position_count": count("self_position"), "self_buy_count": count("self_buy"),
-        **{f"{a.lower()}_count": count(f"did_{a.lower()}") for a in ACTIONS}, "unknown_action_count": F.count_if(~F.col("acted")),
-        **{s.lower(): F.count_if(F.col("stance") == s) for s in STANCES},
-        "unique_texts": F.count_distinct(F.coalesce("text", F.col("comment_key").cast("string"))), "unique_groups": F.count_distinct(F.coalesce("copies", F.col("comment_key").cast("string"))),
-        "users": F.nullif(F.count_distinct("user_id"), F.lit(0)), "user_coverage": F.round(F.avg(F.col("user_id").isNotNull().cast("int")), 6),
-        "engagement_comments": F.count("engagement"), "_up": weight("BULLISH"), "_down": weight("BEARISH"),
+        "mentions": F.count_if(of("text")), **{k: count(F.col(c)) for k, c in flags.items()}, "unknown_action_count": count(~F.col("acted")), **{s.lower(): count(F.col("stance") == s) for s in STANCES},
+        "_users": count(F.col("_known")), "engagement_comments": count(F.col("engagement").isNotNull()), "_up": weight("BULLISH"), "_down": weight("BEARISH"),
     }
-    out = each.groupBy("entity_id").agg(*(c.alias(n) for n, c in figures.items()))
+    by, sums = ["entity_id", "_of", *values], [F.sum(k).alias(k) for k in figures]
+    out = rows.repartition(n, *by).groupBy(*by).agg(*(c.alias(k) for k, c in figures.items()))
+    distinct = {"unique_texts": "text", "unique_groups": "copies", "users": "user_id"}
+    out = out.groupBy("entity_id").agg(*sums, *(F.count_if(of(c)).alias(k) for k, c in distinct.items()))
+    out = out.select(
+        "entity_id", "mentions", *flags, "unknown_action_count", *(s.lower() for s in STANCES), "unique_texts", "unique_groups", F.nullif("users", F.lit(0)).alias("users"),
+        F.round(F.col("_users") / F.col("mentions"), 6).alias("user_coverage"), "engagement_comments", "_up", "_down",
+    )
     n, zero = F.nullif(F.col("bullish") + F.col("bearish"), F.lit(0)), lambda c: F.coalesce(c, F.lit(0.0))
     total = zero("_up") + zero("_down")
     return out.select(
@@ -122,17 +154,22 @@ def rationale_groups(views: DataFrame, comments: DataFrame, rationales: DataFram
 
     rationales: comment_key, entity_id, ordinal, reason_code, stance, stance_gate, summary, gate.
     """
-    kept = rationales.where(F.col("gate") == "PASS").join(accepted(views, comments).select("entity_id", "comment_key").distinct(), ["entity_id", "comment_key"])
+    n, on, by = tasks(views, comments, rationales), ["entity_id", "comment_key"], ["entity_id", "reason_code", "stance"]
+    seen = accepted(*dealt(n, views, comments)).select(on).distinct()
+    kept = rationales.where(F.col("gate") == "PASS").repartition(n, *on).join(seen.repartition(n, *on), on)
     stance = F.when(passed("stance_gate"), F.col("stance")).otherwise("UNKNOWN")
-    first = F.min_by("summary", F.struct("comment_key", "ordinal", "summary"))
-    out = kept.groupBy("entity_id", "reason_code", stance.alias("stance")).agg(F.count_distinct("comment_key").alias("mentions"), F.count("*").alias("evidence"), first.alias("summary"))
+    # a comment lies in one part, so comments can be counted there
+    some = parted(kept.select(*on, "reason_code", stance.alias("stance"), F.struct("comment_key", "ordinal", "summary").alias("first")), n, *by)
+    some = some.groupBy("_part", *by, "comment_key").agg(F.count("*").alias("evidence"), F.min("first").alias("first"))
+    some = some.groupBy("_part", *by).agg(F.count("*").alias("mentions"), F.sum("evidence").alias("evidence"), F.min("first").alias("first"))
+    out = some.repartition(n, *by).groupBy(*by).agg(F.sum("mentions").alias("mentions"), F.sum("evidence").alias("evidence"), F.min("first")["summary"].alias("summary"))
     place = F.row_number().over(Window.partitionBy("entity_id").orderBy(F.desc("evidence"), "reason_code", "stance"))
     return out.select("*", place.cast("long").alias("place"))
 
 
 def evidence_keys(views: DataFrame, comments: DataFrame) -> DataFrame:
     """(entity_id, kind, comment_key) of the comments behind each figure, as rows: a list of a hot entity has no bound."""
-    each = per_comment(accepted(views, comments))
+    each = per_comment(accepted(*dealt(tasks(views, comments), views, comments)))
     kinds = F.array_compact(F.array(F.when(F.col("recommended"), "RECOMMENDATION"), F.when(F.col("avoided"), "AVOID"), F.when(F.col("stance").isin("BULLISH", "BEARISH"), F.col("stance"))))
     return each.select("entity_id", F.explode(kinds).alias("kind"), "comment_key")
 

@@ -1,5 +1,7 @@
 """Every registered query of the core against its SQL twin, and the driver contract."""
 
+import re
+
 import duckdb
 import pandas as pd
 import pytest
@@ -66,3 +68,24 @@ def test_resolution_by_hot_aliases(spark):
     out = dictionary.resolve(*hot)
     assert out.where("state = 'UNRESOLVED'").count() == 3000
     assert out._jdf.queryExecution().optimizedPlan().toString().count("Aggregate") > 2
+
+
+#: Rankings, and what no shuffle by the session's number of partitions may be keyed by.
+DEALT = {
+    "consensus_ranking": "comment_key|user_id",
+    "consensus_rationales": "comment_key|reason_code",
+    "consensus_evidence": "comment_key",
+}
+
+
+@pytest.mark.parametrize("name", DEALT)
+def test_rankings_are_dealt_by_rows(spark, duck, monkeypatch, name):
+    """What holds rows of the tables is in as many tasks as they need, whatever the session's number of shuffle partitions."""
+    from tallyloom.operators import opinion
+
+    monkeypatch.setattr(opinion, "ROWS", 500, raising=False)
+    ours = catalogue.QUERIES[name](spark, SF)
+    plan = ours._jdf.queryExecution().executedPlan().toString()
+    fixed = re.findall(rf"hashpartitioning\((.*), {spark.conf.get('spark.sql.shuffle.partitions')}\)", plan)
+    assert not [keys for keys in fixed if re.search(DEALT[name], keys)]
+    assert rows(ours.toPandas()) == rows(duck.sql(catalogue.ORACLES[name]).df())
