@@ -220,8 +220,12 @@ def daily(comments: DataFrame) -> DataFrame:
 
 
 def entity_daily(views: DataFrame, comments: DataFrame) -> DataFrame:
+    """Comments of each entity by day in Shanghai; the null day holds those without a time."""
+    n = tasks(views, comments)
+    views, comments = dealt(n, views, comments)
     each = per_comment(accepted(views, comments)).join(comments.select("comment_key", "time"), "comment_key")
-    return each.groupBy("entity_id", local_day("time").alias("day")).agg(F.count("*").alias("n"))
+    days = each.select("entity_id", local_day("time").alias("day")).repartition(n, "entity_id", "day")
+    return days.groupBy("entity_id", "day").agg(F.count("*").alias("n"))
 
 
 def review_queue(comments: DataFrame) -> DataFrame:

@@ -75,6 +75,7 @@ DEALT = {
     "consensus_ranking": "comment_key|user_id",
     "consensus_rationales": "comment_key|reason_code",
     "consensus_evidence": "comment_key",
+    "entity_daily": "comment_key|day",
 }
 
 
