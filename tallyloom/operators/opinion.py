@@ -256,14 +256,14 @@ def insights(ranks: DataFrame, boards: DataFrame) -> DataFrame:
     """
     order = [F.desc("recommendation_count"), F.desc("mentions"), F.col("entity_id")]
     rows = ranks.join(boards.select("entity_id", "board"), "entity_id", "left").withColumn("board", F.coalesce("board", F.lit("other")))
-    rows = rows.withColumn("all", F.lit("all"))
-    avoided_ = F.col("avoid_count") + F.col("sell_count")
-    branches = {
-        "RECOMMENDED": (rows.where("recommendation_count > 0"), "board", order), "AVOIDED": (rows.where(avoided_ > 0), "all", [avoided_.desc(), *order]),
-        "DISPUTED": (rows.where("sample_status = 'SUFFICIENT' and disagreement > 0"), "all", [F.desc("disagreement"), *order]), "DIRECTED": (rows.where("sample_status = 'SUFFICIENT'"), "all", [F.abs("bullish_index").desc(), *order]),
-    }
-    out = None
-    for name, (some, by, keys) in branches.items():
-        top = ranking.top_per_group(some, by, keys, 3).select(F.lit(name).alias("branch"), "board", "entity_id", F.col("place").cast("long").alias("place"))
-        out = top if out is None else out.unionByName(top)
-    return out
+    avoided_, sure = F.col("avoid_count") + F.col("sell_count"), F.col("sample_status") == "SUFFICIENT"
+    branch = lambda name, when, group, first: F.when(when, F.struct(F.lit(name).alias("branch"), group.alias("group"), first.cast("double").alias("first")))
+    everywhere = F.lit("all")
+    branches = F.array_compact(F.array(
+        branch("RECOMMENDED", F.col("recommendation_count") > 0, F.col("board"), F.lit(0)), branch("AVOIDED", avoided_ > 0, everywhere, avoided_),
+        branch("DISPUTED", sure & (F.col("disagreement") > 0), everywhere, F.col("disagreement")), branch("DIRECTED", sure, everywhere, F.abs("bullish_index")),
+    ))
+    # one pass: the ranking is worked out once for all branches
+    some = rows.select("board", "entity_id", "recommendation_count", "mentions", F.inline(branches))
+    top = ranking.top_per_group(some, ["branch", "group"], [F.desc("first"), *order], 3)
+    return top.select("branch", "board", "entity_id", F.col("place").cast("long").alias("place"))

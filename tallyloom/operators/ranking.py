@@ -60,5 +60,5 @@ def audit_pick(df: DataFrame, bucket: str, key: str, buckets: int = 10, each: in
     return top_per_group(df.join(F.broadcast(some), bucket), bucket, [hash_order(key)], each)
 
 
-def top_per_group(df: DataFrame, group: str, order: list[Column], n: int) -> DataFrame:
+def top_per_group(df: DataFrame, group: str | list[str], order: list[Column], n: int) -> DataFrame:
     return df.withColumn("place", F.row_number().over(Window.partitionBy(group).orderBy(*order))).where(F.col("place") <= n)

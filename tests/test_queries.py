@@ -76,6 +76,7 @@ DEALT = {
     "consensus_rationales": "comment_key|reason_code",
     "consensus_evidence": "comment_key",
     "entity_daily": "comment_key|day",
+    "insight_branches": "comment_key|user_id",
 }
 
 
