@@ -176,8 +176,10 @@ def evidence_keys(views: DataFrame, comments: DataFrame) -> DataFrame:
 
 def representatives(views: DataFrame, comments: DataFrame, n: int = 5) -> DataFrame:
     """Per entity the n comments with most rationales, then by key."""
-    each = per_comment(accepted(views, comments)).select("entity_id", "comment_key", "n_rationales")
-    return ranking.top_per_group(each, "entity_id", [F.desc("n_rationales"), F.col("comment_key")], n)
+    parts, order = tasks(views, comments), [F.desc("n_rationales"), F.col("comment_key")]
+    each = per_comment(accepted(*dealt(parts, views, comments))).select("entity_id", "comment_key", "n_rationales")
+    some = ranking.top_per_group(parted(each, parts, "entity_id"), ["_part", "entity_id"], order, n).drop("_part", "place")
+    return ranking.top_per_group(some.repartition(parts, "entity_id"), "entity_id", order, n)
 
 
 def method_ranking(methods: DataFrame, comments: DataFrame) -> DataFrame:

@@ -77,6 +77,7 @@ DEALT = {
     "consensus_evidence": "comment_key",
     "entity_daily": "comment_key|day",
     "insight_branches": "comment_key|user_id",
+    "consensus_representatives": "comment_key|entity_id",
 }
 
 
