@@ -138,12 +138,13 @@ def video_rates(views: DataFrame, comments: DataFrame) -> DataFrame:
 
     Videos without mentions count as zero, so the sum of the shares is divided by their number: no grid is made.
     """
-    known = comments.where(F.col("video").isNotNull())
-    totals = known.where(valid()).groupBy("video").agg(F.count("*").alias("total"))
-    pairs = per_comment(accepted(views, comments)).select("entity_id", "comment_key")
-    seen = pairs.join(known.select("comment_key", "video"), "comment_key").groupBy("entity_id", "video").agg(F.count("*").alias("n")).join(totals, "video")
-    rated = seen.groupBy("entity_id").agg(F.count("*").alias("video_count"), F.sum(F.col("n") / F.col("total")).alias("_sum"))
-    out = pairs.select("entity_id").distinct().join(rated, "entity_id", "left")
+    totals = comments.where(F.col("video").isNotNull() & valid()).groupBy("video").agg(F.count("*").alias("total"))
+    n = tasks(views, comments)
+    views, comments = dealt(n, views, comments)
+    pairs = per_comment(accepted(views, comments)).select("entity_id", "comment_key").join(comments.where(F.col("video").isNotNull()).select("comment_key", "video"), "comment_key", "left")
+    seen = parted(pairs, n, "entity_id", "video").groupBy("_part", "entity_id", "video").agg(F.count("*").alias("n"))
+    seen = seen.repartition(n, "entity_id", "video").groupBy("entity_id", "video").agg(F.sum("n").alias("n")).join(totals, "video", "left")
+    out = seen.groupBy("entity_id").agg(F.count("total").alias("video_count"), F.sum(F.col("n") / F.col("total")).alias("_sum"))
     videos = F.broadcast(totals.agg(F.count("*").alias("video_total")))  # one row
     score = F.round(F.coalesce("_sum", F.lit(0.0)) / F.greatest("video_total", F.lit(1)), 6)
     return out.crossJoin(videos).select("entity_id", F.coalesce("video_count", F.lit(0)).cast("long").alias("video_count"), "video_total", score.alias("balanced_score"))

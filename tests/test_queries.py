@@ -78,6 +78,7 @@ DEALT = {
     "entity_daily": "comment_key|day",
     "insight_branches": "comment_key|user_id",
     "consensus_representatives": "comment_key|entity_id",
+    "consensus_video_rates": "comment_key|entity_id[^,]*, video",
 }
 
 
